@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import contamination, packing, url_filter, warc
+from kerbline.llm import contamination, packing, quality, toxicity, url_filter, warc
 from kerbline.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,13 +35,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.measured(table(spark, sf_dir, "documents"))
+    return quality.score(stats, quality.fit(stats, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, label int")
     return url_filter.judge(table(spark, sf_dir, "pages"), labelled).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op6_packing, op8_decontamination, op10_urls)}
+    return {f.__name__: f for f in (op1_warc, op3_toxicity, op6_packing, op8_decontamination, op9_quality, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
