@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import contamination, packing, quality, toxicity, url_filter, warc
+from kerbline.llm import chat, contamination, packing, quality, toxicity, url_filter, vectors, warc
 from kerbline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +33,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.format_pairs(chat.pair_up(talks)).withColumnRenamed("pair_id", "chosen_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
@@ -46,7 +55,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op3_toxicity, op6_packing, op8_decontamination, op9_quality, op10_urls)}
+    return {f.__name__: f for f in (op1_warc, op3_toxicity, op4_vectors, op6_packing, op7_preferences, op8_decontamination, op9_quality, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
