@@ -2,7 +2,7 @@
 
 Shingles have one global order, rarest first by a fixed-size sketch, then by hash. Two sets of Jaccard t or
 more share a shingle among the first n - ceil(t n) + 1 of each. Documents with identical prefixes and size
-form a group; only groups enter the posting lists, pairs of groups are filtered by size and position, and
+form a group; only groups enter the posting lists, pairs of groups are filtered by size, and
 are then expanded to their members, which are verified on the whole sets.
 """
 
@@ -57,6 +57,11 @@ def signatures(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: str
     return saved(rows.mapInPandas(work, f"id {kind}, n long, digest binary, grp binary, prefix array<long>, hot array<boolean>"), "signatures")
 
 
+def _repeats(marks: DataFrame) -> bool:
+    """Whether an id stands in more than one row."""
+    return not marks.groupBy("id").count().where("count > 1").isEmpty()
+
+
 def _verify(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str):
     """Keeps pairs (a, b) of ids whose whole sets reach the threshold; sets are made anew for the ids at hand only."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -91,11 +96,10 @@ def jaccard_join(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: s
     nodes = saved(nodes, "nodes")
     groups = nodes.groupBy("grp", "n").agg(F.min("node").alias("id"), F.count("*").alias("members"))
     groups = saved(groups, "groups")
-    lists = marks.join(groups.select("id"), "id", "left_semi").dropDuplicates(["id"]) if False else marks.join(groups.select("id"), "id", "left_semi")
-    lists = lists.select(F.col("id").alias("node"), F.col("n").alias("size"), F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
-    lists = lists.select(F.col("x.prefix").alias("bucket"), "node", "size", "pos", F.coalesce("x.hot", F.lit(False)).alias("hot"))
-    # of a position filter only the part that needs no partner: a shingle so far back that no set of allowed size can reach the threshold
-    rows = lists.select("bucket", "node", "size", "hot")
+    lists = marks.join(groups.select("id"), "id", "left_semi")
+    lists = lists.select(F.col("id").alias("node"), F.col("n").alias("size"), F.explode(F.arrays_zip("prefix", "hot")).alias("x"))
+    lists = lists.select(F.col("x.prefix").alias("bucket"), "node", "size", F.coalesce("x.hot", F.lit(False)).alias("hot"))
+    rows = lists.dropDuplicates(["bucket", "node"]) if _repeats(marks) else lists
     of_groups = crowded(rows.where("NOT hot").drop("hot"), rows.where("hot").drop("hot"))
     # expand groups to their members; a group of several is a bucket of its own
     members = nodes.join(groups.where("members > 1").select("grp", "n", F.col("id").alias("lead")), ["grp", "n"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, contamination, packing, quality, toxicity, url_filter, vectors, warc
+from kerbline.llm import chat, contamination, jaccard, packing, quality, toxicity, url_filter, vectors, warc
 from kerbline.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +59,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op3_toxicity, op4_vectors, op6_packing, op7_preferences, op8_decontamination, op9_quality, op10_urls)}
+    return {f.__name__: f for f in (op1_warc, op3_toxicity, op4_vectors, op5_jaccard, op6_packing, op7_preferences, op8_decontamination, op9_quality, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
