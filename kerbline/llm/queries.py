@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, contamination, jaccard, packing, quality, toxicity, url_filter, vectors, warc
+from kerbline.llm import chat, contamination, jaccard, packing, quality, substrings, toxicity, url_filter, vectors, warc
 from kerbline.llm.common import table
 
 
@@ -17,6 +17,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
+    return out.select("doc_id", "text", F.size("removed_spans").alias("n_removed"), removed.alias("removed_chars"), "removed_spans")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -59,7 +65,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op3_toxicity, op4_vectors, op5_jaccard, op6_packing, op7_preferences, op8_decontamination, op9_quality, op10_urls)}
+    return {f.__name__: f for f in (op1_warc, op2_substrings, op3_toxicity, op4_vectors, op5_jaccard, op6_packing, op7_preferences, op8_decontamination, op9_quality, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
