@@ -1,71 +1,72 @@
 """Linking the members of buckets without listing all pairs of a bucket.
 
-Rows (bucket, node, size, ...) say that nodes of a bucket may be similar. Each bucket's members first meet
-its pivot alone. What is linked then shares a component, and only members whose component differs from the
-pivot's meet the rest of the bucket. So a bucket of m copies costs m comparisons, and no pair of nodes in
-different components that share a bucket is left out.
+Rows (bucket, node, size, rank) say that nodes of a bucket may be similar. Each bucket's members first meet
+its pivot alone, the member of least rank, of those the largest. What is linked then shares a component, and only members whose
+component differs from the pivot's meet the rest of the bucket. So a bucket of m copies costs m comparisons,
+and no pair of nodes in different components that share a bucket is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import saved
 from kerbline.llm.components import components
 
+def _first():
+    return F.min(F.struct("rank", (-F.col("size")).alias("s"), "node", "size")).alias("p")
 
-def crowded(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Rows of buckets that hold two nodes or more, with each bucket's pivot; stored.
 
-    rows: (bucket, node, size), one for each bucket and node; buckets small enough for one task each go
-    through one shuffle and a window. hot: rows of the buckets that may be large; their pivots are
-    pre-aggregated, and their rows meet them in a join whose skew Spark splits. The pivot is the largest
-    node by size, then least by id.
+def crowded(rows: DataFrame) -> DataFrame:
+    """(bucket, node, size, pivot, pivot_size, rank) of buckets that hold two nodes or more; stored.
+
+    rows: (bucket, node, size, rank), one for each bucket and node. Pivots are pre-aggregated, and rows
+    meet them in a join whose skewed keys Spark splits, so a bucket may hold any share of all rows.
     """
-    first = F.struct((-F.col("size")).alias("s"), F.col("node").alias("n"))
-    by = Window.partitionBy("bucket")
-    cool = rows.withColumn("p", F.min(first).over(by)).withColumn("m", F.count("*").over(by)).where("m > 1")
-    out = cool.select("bucket", "node", "size", F.col("p.n").alias("pivot"), (-F.col("p.s")).alias("pivot_size"))
-    if hot is not None:
-        pivots = hot.groupBy("bucket").agg(F.min(first).alias("p"), F.count("*").alias("m")).where("m > 1")
-        met = hot.join(pivots, "bucket")
-        out = out.unionByName(met.select("bucket", "node", "size", F.col("p.n").alias("pivot"), (-F.col("p.s")).alias("pivot_size")))
-    return saved(out, "buckets")
+    pivots = rows.groupBy("bucket").agg(_first(), F.count("*").alias("m")).where("m > 1")
+    met = rows.join(pivots, "bucket")
+    return saved(met.select("bucket", "node", "size", "rank", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size")), "buckets")
+
+
+def _pairs(rows: DataFrame, other: str) -> DataFrame:
+    return rows.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
-def link(buckets: DataFrame, may: Callable, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def link(buckets: DataFrame, may: Callable, verify: Callable[[DataFrame], DataFrame], cores: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """(a, b) links, a < b, that connect whatever verified pairs within buckets connect.
 
-    buckets: of crowded(). may(size, size): a Column, false for sizes that exclude a link. verify: keeps
-    the linked ones of (a, b) pairs. In each of `rounds` rounds the members outside their pivot's
-    component meet a pivot of their own; the last step compares those that are left with all members of
-    their bucket that lie in other components, so nothing depends on the number of rounds.
+    buckets: of crowded(). may(size, size, core, core): a Column, false where a link is impossible; cores are
+    None until cores(nodes) is asked, which returns (node, core) for nodes (node, component): what is known of
+    a node's elements that some node of another component has. verify keeps the linked ones of (a, b) pairs. In the
+    first rounds members outside their pivot's component meet a pivot of their own; the last one compares
+    those that are left with all members of their bucket in other components, so no result depends on
+    the number of rounds.
     """
-    pairs = buckets.where("node <> pivot").where(may(F.col("size"), F.col("pivot_size")))
-    tried = saved(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    own = buckets.where("node <> pivot").where(may(F.col("size"), F.col("pivot_size"), None, None))
+    tried = saved(_pairs(own, "pivot"), "pairs")
     links = saved(verify(tried), "links")
-    first = F.struct((-F.col("size")).alias("s"), F.col("node").alias("n"))
     for step in range(rounds):
         comp = saved(components(links), "components")
         named = comp.select(F.col("id").alias("node"), "component")
-        own = F.coalesce("component", "node")
-        rows = buckets.join(named, "node", "left").withColumn("of", own)
-        rows = rows.join(named.select(F.col("node").alias("pivot"), F.col("component").alias("_p")), "pivot", "left").withColumn("of_pivot", F.coalesce("_p", "pivot"))
-        rows = rows.select("bucket", "node", "size", "pivot", "pivot_size", "of", "of_pivot")
-        outside = rows.where("of <> of_pivot")
+        rows = buckets.join(named, "node", "left").join(named.select(F.col("node").alias("pivot"), F.col("component").alias("_p")), "pivot", "left")
+        rows = rows.select("bucket", "node", "size", "rank", F.coalesce("component", "node").alias("of"), F.coalesce("_p", "pivot").alias("of_pivot"))
+        left = saved(rows.where("of <> of_pivot").select("bucket", "node", "size", "rank", "of"), "outside")
         if step < rounds - 1:
-            lead = outside.groupBy("bucket").agg(F.min(first).alias("p")).select("bucket", F.col("p.n").alias("to"), (-F.col("p.s")).alias("to_size"))
-            new = outside.join(lead, "bucket").where("node <> to").where(may(F.col("size"), F.col("to_size"))).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
+            lead = left.groupBy("bucket").agg(_first()).select("bucket", F.col("p.node").alias("to"), F.col("p.size").alias("to_size"))
+            met = left.join(lead, "bucket").where("node <> to").where(may(F.col("size"), F.col("to_size"), None, None))
         else:
-            left = saved(outside.select("bucket", "node", "size", "of"), "outside")
-            open_ = left.select("bucket").distinct()
-            rest = rows.join(open_, "bucket", "left_semi").select("bucket", F.col("node").alias("to"), F.col("size").alias("to_size"), F.col("of").alias("to_of"))
-            met = left.join(rest, "bucket").where("of <> to_of").where(may(F.col("size"), F.col("to_size")))
-            new = met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
-        new = saved(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            rest = rows.join(left.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node", "size", "of")
+            if cores is not None:
+                rest = saved(rest, "open")
+                core = saved(cores(rest.select("node", F.col("of").alias("component")).distinct()), "cores")
+                rest, left = rest.join(core, "node"), left.join(core, "node")
+            rest = rest.withColumnsRenamed({c: f"to_{c}" for c in rest.columns if c != "bucket"}).withColumnRenamed("to_node", "to")
+            both = (F.col("core"), F.col("to_core")) if cores is not None else (None, None)
+            met = left.join(rest, "bucket").where("of <> to_of").where(may(F.col("size"), F.col("to_size"), *both))
+        new = saved(_pairs(met, "to").join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
         tried = tried.unionByName(new)

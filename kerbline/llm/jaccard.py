@@ -1,9 +1,11 @@
 """Exact n-gram Jaccard join of documents by grouped prefixes.
 
-Shingles have one global order, rarest first by a fixed-size sketch, then by hash. Two sets of Jaccard t or
-more share a shingle among the first n - ceil(t n) + 1 of each. Documents with identical prefixes and size
-form a group; only groups enter the posting lists, pairs of groups are filtered by size, and
-are then expanded to their members, which are verified on the whole sets.
+A set's prefix is its p + e shingles of least hash, where p = n - ceil(t n) + 1: two sets of Jaccard t or more
+share at least 1 + e shingles of their prefixes. So e shingles of each may be dropped, and those in the most
+documents are: the rarest common shingle always stays. Shingles that no other prefix holds need no posting
+list either; a document whose p kept shingles are all of that kind is done. Documents with identical
+prefixes and size form a group; only groups enter the posting lists, pairs of groups are filtered, and are
+then expanded to their members, which are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -11,76 +13,117 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.buckets import crowded, link
 from kerbline.llm.common import broadcast_if_small, saved
 from kerbline.llm.components import components
-from kerbline.llm.shingles import SIZE, Sketch, shingle_set
+from kerbline.llm.shingles import SIZE, shingle_set
 
+#: Share of a set that a prefix holds beyond p, and may lose again.
+EXTRA = 0.12
+#: A shingle that so many of a 1/32 sample of the groups hold goes the way of long posting lists; no result depends on it.
+HOT_IN_SAMPLE = 40
+#: Words of 64 bits of the maps that bound what two sets share before the sets meet.
+WORDS = 8
 
-def _sizes_allow(percent: int):
-    return lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+def _prefix(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """p and the prefix of a sorted set."""
+    p = len(s) - -(-percent * len(s) // 100) + 1
+    return p, s[: p + int(EXTRA * len(s)) + 2]
+
+
+def _group(prefix: np.ndarray, n: int) -> int:
+    return xxhash.xxh3_64_intdigest(prefix.tobytes(), n) - 2**63
 
 
 def signatures(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, grp, prefix, hot) per row with an id, stored: set size, set digest, prefix group and prefix.
+    """(id, n, digest, grp, p, m) per row with an id, stored: set size and digest, prefix group, p, prefix length.
 
-    hot holds, for each shingle of the prefix, whether the sketch finds it so common that its posting list
-    may be long. Empty sets have n = 0 and nulls.
+    Empty sets have n = 0 and nulls.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    counts = Sketch.count(docs, id_col, text_col, size)
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max() < 2**32 else np.uint64))  # 4 or 8 MB at any size
-    long_ = int(max(1000, 8 * counts.mean()))
 
     def work(frames):
-        order = shared.value
         for frame in frames:
             rows = []
             for key, text in zip(frame["id"], frame["text"]):
                 s = shingle_set(text, size)
-                n = len(s)
-                if not n:
+                if len(s):
+                    p, prefix = _prefix(s, percent)
+                    rows.append((key, len(s), xxhash.xxh3_128_digest(s.tobytes()), _group(prefix, len(s)), p, len(prefix)))
+                else:
                     rows.append((key, 0, None, None, None, None))
-                    continue
-                keep = n - -(-percent * n // 100) + 1
-                common = order[Sketch.cell(s)]
-                first = np.lexsort((s, common))[:keep]
-                prefix, hot = s[first].view(np.int64), common[first] > long_
-                grp = xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little"))
-                rows.append((key, n, xxhash.xxh3_128_digest(s.tobytes()), grp, prefix, hot))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "grp", "prefix", "hot"])
+            yield pd.DataFrame(rows, columns=["id", "n", "digest", "grp", "p", "m"]).astype({"grp": "Int64", "p": "Int64", "m": "Int64"})
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return saved(rows.mapInPandas(work, f"id {kind}, n long, digest binary, grp binary, prefix array<long>, hot array<boolean>"), "signatures")
+    return saved(rows.mapInPandas(work, f"id {kind}, n long, digest binary, grp long, p long, m long"), "signatures")
+
+
+def prefixes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str, one_in: int = 1) -> DataFrame:
+    """(token, grp) for the prefix of each group, or of one in so many groups; a task sends each group once."""
+
+    def work(frames):
+        sent: set[int] = set()
+        for frame in frames:
+            grps, tokens = [], []
+            for text in frame["text"]:
+                s = shingle_set(text, size)
+                if len(s):
+                    _, prefix = _prefix(s, percent)
+                    grp = _group(prefix, len(s))
+                    if grp not in sent and grp % one_in == 0:
+                        sent.add(grp)
+                        grps.append(grp)
+                        tokens.append(prefix.view(np.int64))
+            yield pd.DataFrame({"grp": grps, "tokens": tokens})
 
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
+    return rows.mapInPandas(work, "grp long, tokens array<long>").select(F.explode("tokens").alias("token"), "grp")
 
-def _repeats(marks: DataFrame) -> bool:
-    """Whether an id stands in more than one row."""
-    return not marks.groupBy("id").count().where("count > 1").isEmpty()
 
+def _postings(docs: DataFrame, groups: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(bucket, node, size, rank): the posting lists that groups (grp, id, n, p, m) need; node is a group's least id.
 
-def _verify(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str):
-    """Keeps pairs (a, b) of ids whose whole sets reach the threshold; sets are made anew for the ids at hand only."""
+    rank is the share of prefix shingles that no other group holds: of an original and its edited copies
+    the original ranks first.
+    """
+    sample = prefixes(docs, percent, size, id_col, text_col, 32).groupBy("token").agg(F.count_distinct("grp").alias("k"))
+    hot = saved(sample.where(F.col("k") >= HOT_IN_SAMPLE).select("token"), "hot")
+    all_ = prefixes(docs, percent, size, id_col, text_col)
+    hot_side = broadcast_if_small(hot.withColumn("hot", F.lit(True)))
+    flagged = all_.join(hot_side, "token", "left")
+    # short lists: one shuffle by token for both the count and the rows; long ones are pre-aggregated and joined
+    cool = flagged.where("hot IS NULL").select("token", "grp").repartition("token").dropDuplicates(["token", "grp"])
+    cool = cool.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    if hot.isEmpty():
+        shared = saved(cool, "shared")
+    else:
+        long_ = saved(flagged.where("hot").select("token", "grp").distinct(), "long")
+        shared = saved(cool.unionByName(long_.join(long_.groupBy("token").agg(F.count("*").alias("df")), "token").select("token", "grp", "df")), "shared")
+    each = shared.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("have"))
+    alone = F.col("m") - F.size("have")
+    need = groups.join(each, "grp").withColumn("need", F.col("p") - alone).where("need > 0")
+    rows = need.select(F.col("id").alias("node"), F.col("n").alias("size"), (alone / F.col("m")).alias("rank"), F.explode(F.slice("have", F.lit(1), F.least(F.col("need"), F.size("have")).cast("int"))).alias("x"))
+    return rows.select(F.col("x.token").alias("bucket"), "node", "size", "rank")
+
+
+def _sets(docs: DataFrame, size: int, id_col: str, text_col: str):
+    """A function that makes (id, s) anew, whole sets as arrays, for the ids at hand."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def sets(frames):
+    def work(frames):
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "s": [shingle_set(t, size).view(np.int64) for t in frame["text"]]})
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        own = texts.join(broadcast_if_small(ids), "id", "left_semi").mapInPandas(sets, f"id {kind}, s array<long>")
-        own = saved(own.dropDuplicates(["id"]), "sets")
-        met = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        met = met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
-        return met.where(F.col("both") * 100 >= F.col("any") * percent).select("a", "b")
+    def of(ids: DataFrame) -> DataFrame:
+        ids = saved(ids.select("id").distinct(), "ids")
+        return texts.join(broadcast_if_small(ids), "id", "left_semi").mapInPandas(work, f"id {kind}, s array<long>").dropDuplicates(["id"])
 
-    return verify
+    return of
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,27 +135,54 @@ def jaccard_join(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: s
     with a null id have their set size and a null component. Extra columns are ignored.
     """
     marks = signatures(docs, percent, size, id_col, text_col)
-    nodes = marks.where("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.first("grp").alias("grp"), F.first("n").alias("n"))
-    nodes = saved(nodes, "nodes")
-    groups = nodes.groupBy("grp", "n").agg(F.min("node").alias("id"), F.count("*").alias("members"))
+    nodes = marks.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "grp", "p", "m")).alias("x"))
+    nodes = saved(nodes.select("digest", F.col("x.id").alias("node"), "x.n", "x.grp", "x.p", "x.m"), "nodes")
+    groups = nodes.groupBy("grp", "n", "p", "m").agg(F.min("node").alias("id"), F.count("*").alias("members"))
     groups = saved(groups, "groups")
-    lists = marks.join(groups.select("id"), "id", "left_semi")
-    lists = lists.select(F.col("id").alias("node"), F.col("n").alias("size"), F.explode(F.arrays_zip("prefix", "hot")).alias("x"))
-    lists = lists.select(F.col("x.prefix").alias("bucket"), "node", "size", F.coalesce("x.hot", F.lit(False)).alias("hot"))
-    rows = lists.dropDuplicates(["bucket", "node"]) if _repeats(marks) else lists
-    of_groups = crowded(rows.where("NOT hot").drop("hot"), rows.where("hot").drop("hot"))
+    rows = _postings(docs, groups, percent, size, id_col, text_col)
     # expand groups to their members; a group of several is a bucket of its own
     members = nodes.join(groups.where("members > 1").select("grp", "n", F.col("id").alias("lead")), ["grp", "n"])
     members = saved(members.select("lead", "node", F.col("n").alias("size")), "members")
-    more = of_groups.join(members.where("node <> lead").select(F.col("lead"), F.col("node").alias("other")), of_groups["node"] == F.col("lead")).select("bucket", F.col("other").alias("node"), "size", "pivot", "pivot_size")
-    inside = members.select(F.xxhash64("lead").alias("bucket"), "node", "size", F.col("lead").alias("pivot"), F.col("size").alias("pivot_size"))
-    buckets = saved(of_groups.unionByName(more).unionByName(inside), "expanded") if not members.isEmpty() else of_groups
-    comp = components(link(buckets, _sizes_allow(percent), _verify(docs, percent, size, id_col, text_col)))
+    if not members.isEmpty():
+        rows = saved(rows, "postings")
+        more = rows.join(members.where("node <> lead").select(F.col("lead"), F.col("node").alias("other")), rows["node"] == F.col("lead"))
+        inside = members.select(F.xxhash64("lead").alias("bucket"), "node", "size", F.lit(0.0).alias("rank"))
+        rows = rows.unionByName(more.select("bucket", F.col("other").alias("node"), "size", "rank")).unionByName(inside)
+    sets = _sets(docs, size, id_col, text_col)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        own = saved(sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "sets")
+        met = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+
+    def cores(open_: DataFrame) -> DataFrame:
+        own = sets(open_.select(F.col("node").alias("id"))).join(open_, F.col("id") == F.col("node"))
+        have = saved(own.select("node", "component", F.explode("s").alias("token")), "tokens")
+        across = have.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("token"), F.lit(64)).cast("int"))
+        word = F.pmod(F.shiftright("token", 6), F.lit(WORDS))
+        maps = F.struct(*(F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
+        counted = have.join(across, "token", "left_semi").groupBy("node").agg(F.struct(F.count("*").alias("all"), maps.alias("map")).alias("core"))
+        return open_.select("node").join(counted, "node")  # without a shared shingle there is no link
+
+    def may(a, b, core_a, core_b):
+        fits = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+        if core_a is None:
+            return fits
+        # a link needs t / (1 + t) of both sizes in common; of a core, each bit that the other map lacks is one shingle less
+        needed = (a + b) * percent
+
+        def most(x, y):
+            return x["all"] - sum((F.bit_count(x["map"][f"w{k}"].bitwiseAND(F.bitwise_not(y["map"][f"w{k}"]))) for k in range(WORDS)), F.lit(0))
+
+        return fits & (F.least(core_a["all"], core_b["all"]) * (100 + percent) >= needed) & (F.least(most(core_a, core_b), most(core_b, core_a)) * (100 + percent) >= needed)
+
+    comp = components(link(crowded(rows), may, verify, cores))
     comp = nodes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     kept = marks.select("id", "n", "digest").join(comp, "digest", "left")
     out = kept.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    nameless = docs.where(F.col(id_col).isNull())
-    return out.unionByName(_nameless(nameless, out, size, id_col, text_col))
+    return out.unionByName(_nameless(docs.where(F.col(id_col).isNull()), out, size, id_col, text_col))
 
 
 def _nameless(rows: DataFrame, like: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:

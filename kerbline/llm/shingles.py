@@ -1,12 +1,9 @@
-"""Word shingles of texts as 64-bit hashes, and a fixed-size frequency sketch over them."""
+"""Word shingles of texts as 64-bit hashes."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SIZE = 5
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,44 +40,3 @@ def shingle_hashes(h: np.ndarray, size: int = SIZE) -> np.ndarray:
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     return np.unique(shingle_hashes(word_hashes(words(text)), size))
-
-
-class Sketch:
-    """How many of the hashes fall in each of a fixed number of cells: an upper bound of each hash's count."""
-
-    CELLS = 1 << 20
-    CHUNK = 1 << 14
-
-    @staticmethod
-    def cell(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(44)).astype(np.int64)
-
-    @classmethod
-    def count(cls, docs: DataFrame, id_col: str, text_col: str, size: int = SIZE) -> np.ndarray:
-        """Cells summed over all rows: each task sends its own sum, chunks of cells are added up apart."""
-
-        def part(frames):
-            total = np.zeros(cls.CELLS, np.int64)
-            for frame in frames:
-                for text in frame["text"]:
-                    cells = cls.cell(shingle_set(text, size))
-                    if len(cells) > 50_000:
-                        total += np.bincount(cells, minlength=cls.CELLS)
-                    else:
-                        np.add.at(total, cells, 1)
-            for i in range(0, cls.CELLS, cls.CHUNK):
-                chunk = total[i : i + cls.CHUNK]
-                small = chunk.astype(np.uint16) if chunk.max(initial=0) < 65536 else chunk
-                yield pd.DataFrame({"i": [i], "v": [small.tobytes()]})
-
-        def add(frame):
-            total = np.zeros(cls.CHUNK, np.int64)
-            for v in frame["v"]:
-                total += np.frombuffer(v, np.uint16 if len(v) == 2 * cls.CHUNK else np.int64)
-            return pd.DataFrame({"i": frame["i"].iloc[:1], "v": [total.tobytes()]})
-
-        parts = docs.select(F.col(text_col).alias("text")).mapInPandas(part, "i int, v binary")
-        out = np.zeros(cls.CELLS, np.int64)
-        for r in parts.groupBy("i").applyInPandas(add, "i int, v binary").collect():  # 8 MB, whatever the corpus
-            out[r["i"] : r["i"] + cls.CHUNK] = np.frombuffer(r["v"], np.int64)
-        return out

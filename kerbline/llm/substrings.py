@@ -105,8 +105,8 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
     kind = docs.schema[id_col].dataType.simpleString()
     # equal sets are one node; they need no banding
     nodes = saved(lines.groupBy("digest").agg(F.min(F.struct("id", "idx")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "lines")
-    rows = nodes.select(F.explode("keys").alias("bucket"), F.col("digest").alias("node"), F.col("n").cast("long").alias("size"))
-    buckets = crowded(rows.limit(0), rows)
+    rows = nodes.select(F.explode("keys").alias("bucket"), F.col("digest").alias("node"), F.col("n").cast("long").alias("size"), (-F.col("n")).alias("rank"))
+    buckets = crowded(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def sets(frames):
@@ -128,7 +128,9 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
         both = F.size(F.array_intersect("x", "y"))
         return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
-    may = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    def may(a, b, core_a, core_b):
+        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
     return components(link(buckets, may, verify)).withColumnRenamed("id", "digest")
 
 
