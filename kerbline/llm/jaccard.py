@@ -21,8 +21,9 @@ from kerbline.llm.common import broadcast_if_small, saved
 from kerbline.llm.components import components
 from kerbline.llm.shingles import SIZE, shingle_set
 
-#: Share of a set that a prefix holds beyond p, and may lose again.
-EXTRA = 0.12
+#: e as a share, in percent, of the least overlap ceil(t n). It grows more slowly than that overlap, so of two sets of
+#: different sizes the larger one's 1 + e is shared, too.
+EXTRA = 15
 #: A shingle that so many of a 1/32 sample of the groups hold goes the way of long posting lists; no result depends on it.
 HOT_IN_SAMPLE = 40
 #: Words of 64 bits of the maps that bound what two sets share before the sets meet.
@@ -31,8 +32,9 @@ WORDS = 8
 
 def _prefix(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
     """p and the prefix of a sorted set."""
-    p = len(s) - -(-percent * len(s) // 100) + 1
-    return p, s[: p + int(EXTRA * len(s)) + 2]
+    least = -(-percent * len(s) // 100)
+    p = len(s) - least + 1
+    return p, s[: p + EXTRA * least // 100 + 2]
 
 
 def _group(prefix: np.ndarray, n: int) -> int:
@@ -42,7 +44,7 @@ def _group(prefix: np.ndarray, n: int) -> int:
 def signatures(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, digest, grp, p, m) per row with an id, stored: set size and digest, prefix group, p, prefix length.
 
-    Empty sets have n = 0 and nulls.
+    Empty sets have n = 0 and no digest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -55,8 +57,8 @@ def signatures(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: str
                     p, prefix = _prefix(s, percent)
                     rows.append((key, len(s), xxhash.xxh3_128_digest(s.tobytes()), _group(prefix, len(s)), p, len(prefix)))
                 else:
-                    rows.append((key, 0, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "grp", "p", "m"]).astype({"grp": "Int64", "p": "Int64", "m": "Int64"})
+                    rows.append((key, 0, None, 0, 0, 0))  # a None would turn the column into floats
+            yield pd.DataFrame(rows, columns=["id", "n", "digest", "grp", "p", "m"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return saved(rows.mapInPandas(work, f"id {kind}, n long, digest binary, grp long, p long, m long"), "signatures")
@@ -78,7 +80,8 @@ def prefixes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: st
                         sent.add(grp)
                         grps.append(grp)
                         tokens.append(prefix.view(np.int64))
-            yield pd.DataFrame({"grp": grps, "tokens": tokens})
+            if grps:
+                yield pd.DataFrame({"grp": grps, "tokens": tokens})
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
     return rows.mapInPandas(work, "grp long, tokens array<long>").select(F.explode("tokens").alias("token"), "grp")

@@ -112,9 +112,11 @@ def tokenise(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int
                     seen[length] += 1
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids", "chunk", "k"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, ids binary, chunk int, k long"
-    return saved(out.mapInPandas(work, schema), "pieces")
+    # ids pass Python as text, where a null among whole numbers would make them floats
+    out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    schema = "id string, piece int, start long, length long, ids_crc32 long, ids binary, chunk int, k long"
+    made = out.mapInPandas(work, schema)
+    return saved(made.withColumn("id", F.col("id").cast(kind)), "pieces")
 
 
 def best_fit(counts: dict[int, int], size: int) -> Counter:

@@ -59,8 +59,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "x": [statistics(t) for t in frame["text"]]})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return saved(rows.mapInPandas(work, f"id {kind}, x array<double>"), "statistics")
+    # ids pass Python as text, where a null among whole numbers would make them floats
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return saved(rows.mapInPandas(work, "id string, x array<double>").withColumn("id", F.col("id").cast(kind)), "statistics")
 
 
 @dataclass
@@ -164,5 +165,5 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             value = model.score(np.stack(frame["x"].to_numpy())) if len(frame) else []
             yield pd.DataFrame({"id": frame["id"], "score": value})
 
-    out = stats.mapInPandas(work, f"id {kind}, score double")
+    out = stats.withColumn("id", F.col("id").cast("string")).mapInPandas(work, "id string, score double").withColumn("id", F.col("id").cast(kind))
     return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

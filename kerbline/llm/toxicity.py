@@ -202,8 +202,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
             found = [sorted(hits(t)) for t in frame["text"]]
             margin = np.array([bias + weights[f].sum() if f else bias for f in found])
             value = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield pd.DataFrame({id_col: frame[id_col], "score": value, "fired": [[names[i][1] for i in f] for f in found]})
+            yield pd.DataFrame({"id": frame["id"], "score": value, "fired": [[names[i][1] for i in f] for f in found]})
 
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")) if id_col != "text" else docs.select(id_col)
-    out = rows.mapInPandas(work, f"`{id_col}` {kind}, score double, fired array<string>")
+    # ids pass Python as text, where a null among whole numbers would make them floats
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(work, "id string, score double, fired array<string>").withColumn(id_col, F.col("id").cast(kind))
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "fired")
