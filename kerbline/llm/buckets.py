@@ -16,6 +16,41 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import saved
 from kerbline.llm.components import components
 
+#: Words of 64 bits of the maps that bound what two sets share before the sets meet.
+WORDS = 8
+
+
+def shared_cores(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """(node, core) of the open nodes (node, component), core struct<all, map>; sets: (id, s array<long>) of them.
+
+    A core is what a node's set shares with nodes of other components: its size, and a bit map of its
+    hashes. Nodes that share nothing are left out, for they have no link to find.
+    """
+    have = saved(sets.join(open_, F.col("id") == F.col("node")).select("node", "component", F.explode("s").alias("token")), "tokens")
+    across = have.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("token"), F.lit(64)).cast("int"))
+    word = F.pmod(F.shiftright("token", 6), F.lit(WORDS))
+    maps = F.struct(*(F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
+    return have.join(across, "token", "left_semi").groupBy("node").agg(F.struct(F.count("*").alias("all"), maps.alias("map")).alias("core"))
+
+
+def may_reach(percent: int) -> Callable:
+    """The condition of link() for a Jaccard similarity of percent / 100: by sizes, and by shared_cores() once they are known."""
+
+    def most(x, y):
+        # each bit of a core that the other map lacks is one element less
+        return x["all"] - sum((F.bit_count(x["map"][f"w{k}"].bitwiseAND(F.bitwise_not(y["map"][f"w{k}"]))) for k in range(WORDS)), F.lit(0))
+
+    def may(a, b, core_a, core_b):
+        fits = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+        if core_a is None:
+            return fits
+        needed = (a + b) * percent  # a link needs t / (1 + t) of both sizes in common
+        return fits & (F.least(core_a["all"], core_b["all"]) * (100 + percent) >= needed) & (F.least(most(core_a, core_b), most(core_b, core_a)) * (100 + percent) >= needed)
+
+    return may
+
+
 def _first():
     return F.min(F.struct("rank", (-F.col("size")).alias("s"), "node", "size")).alias("p")
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.buckets import crowded, link
+from kerbline.llm.buckets import crowded, link, may_reach, shared_cores
 from kerbline.llm.common import broadcast_if_small, saved
 from kerbline.llm.components import components
 from kerbline.llm.shingles import SIZE, shingle_set
@@ -26,8 +26,6 @@ from kerbline.llm.shingles import SIZE, shingle_set
 EXTRA = 15
 #: A shingle that so many of a 1/32 sample of the groups hold goes the way of long posting lists; no result depends on it.
 HOT_IN_SAMPLE = 40
-#: Words of 64 bits of the maps that bound what two sets share before the sets meet.
-WORDS = 8
 
 
 def _prefix(s: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
@@ -160,28 +158,9 @@ def jaccard_join(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: s
         return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
     def cores(open_: DataFrame) -> DataFrame:
-        own = sets(open_.select(F.col("node").alias("id"))).join(open_, F.col("id") == F.col("node"))
-        have = saved(own.select("node", "component", F.explode("s").alias("token")), "tokens")
-        across = have.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("token"), F.lit(64)).cast("int"))
-        word = F.pmod(F.shiftright("token", 6), F.lit(WORDS))
-        maps = F.struct(*(F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
-        counted = have.join(across, "token", "left_semi").groupBy("node").agg(F.struct(F.count("*").alias("all"), maps.alias("map")).alias("core"))
-        return open_.select("node").join(counted, "node")  # without a shared shingle there is no link
-
-    def may(a, b, core_a, core_b):
-        fits = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-        if core_a is None:
-            return fits
-        # a link needs t / (1 + t) of both sizes in common; of a core, each bit that the other map lacks is one shingle less
-        needed = (a + b) * percent
-
-        def most(x, y):
-            return x["all"] - sum((F.bit_count(x["map"][f"w{k}"].bitwiseAND(F.bitwise_not(y["map"][f"w{k}"]))) for k in range(WORDS)), F.lit(0))
-
-        return fits & (F.least(core_a["all"], core_b["all"]) * (100 + percent) >= needed) & (F.least(most(core_a, core_b), most(core_b, core_a)) * (100 + percent) >= needed)
-
-    comp = components(link(crowded(rows), may, verify, cores))
+        return shared_cores(sets(open_.select(F.col("node").alias("id"))), open_)
+
+    comp = components(link(crowded(rows), may_reach(percent), verify, cores))
     comp = nodes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     kept = marks.select("id", "n", "digest").join(comp, "digest", "left")
     out = kept.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -10,13 +10,14 @@ least id keeps its text, and all others lose theirs.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.buckets import crowded, link
+from kerbline.llm.buckets import crowded, link, may_reach, shared_cores
 from kerbline.llm.common import broadcast_if_small, saved
 from kerbline.llm.components import components
 from kerbline.llm.shingles import SIZE, mix, shingle_hashes, word_hashes
@@ -59,9 +60,15 @@ class Cut:
         at = np.arange(len(self.h)) - np.repeat(self.block_start, self.block_size)
         return mix(np.add.reduceat(mix(self.h + (at.astype(np.uint64) + np.uint64(1)) * _STEP), self.block_start) + self.block_size.astype(np.uint64))
 
+    @cached_property
+    def shingles(self) -> np.ndarray:
+        """A hash for every SIZE words of the text, across lines, too."""
+        return shingle_hashes(self.h, SIZE)
+
     def line(self, i: int) -> np.ndarray:
-        """Sorted distinct shingles of a line."""
-        return np.unique(shingle_hashes(self.h[self.line_start[i] : self.line_start[i] + self.line_size[i]], SIZE))
+        """Sorted distinct shingles of a line of SIZE words or more."""
+        a = self.line_start[i]
+        return np.unique(self.shingles[a : a + self.line_size[i] - SIZE + 1])
 
     def paragraphs(self) -> np.ndarray:
         return np.nonzero(self.line_size >= LINE_WORDS)[0]
@@ -75,6 +82,14 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return mix((low.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP)
 
 
+def all_bands(sets: list[np.ndarray]) -> np.ndarray:
+    """bands() of many sets, one row each; a value at a time over all sets together."""
+    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    flat = np.concatenate(sets)
+    low = np.stack([np.minimum.reduceat(mix(flat * m + a), starts) for m, a in zip(_MUL, _ADD)], axis=1)
+    return mix((low.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP)
+
+
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, idx, n, digest, keys), stored: blocks (kind b, n words) and paragraphs (kind p, n shingles, band keys)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -82,19 +97,22 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def work(frames):
         for frame in frames:
             for i in range(0, len(frame), 200):
-                out = []
-                for key, text in zip(frame["id"].iloc[i : i + 200], frame["text"].iloc[i : i + 200]):
-                    if not text:
-                        continue
-                    cut = Cut(text)
-                    use = np.nonzero(cut.block_size >= BLOCK_WORDS)[0]
-                    out.append(pd.DataFrame({"id": key, "kind": "b", "idx": use, "n": cut.block_size[use], "digest": cut.blocks()[use].view(np.int64), "keys": None}))
-                    lines = [(int(p), cut.line(p)) for p in cut.paragraphs()]
-                    if lines:
-                        digests = [int(mix(np.add.reduce(mix(s), keepdims=True) + np.uint64(len(s)))[0].astype(np.int64)) for _, s in lines]
-                        out.append(pd.DataFrame({"id": key, "kind": "p", "idx": [p for p, _ in lines], "n": [len(s) for _, s in lines], "digest": digests, "keys": [bands(s).view(np.int64) for _, s in lines]}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                found = [(key, Cut(text)) for key, text in zip(frame["id"].iloc[i : i + 200], frame["text"].iloc[i : i + 200]) if text]
+                if not found:
+                    continue
+                uses = [np.nonzero(cut.block_size >= BLOCK_WORDS)[0] for _, cut in found]
+                lines = [[(int(p), cut.line(p)) for p in cut.paragraphs()] for _, cut in found]
+                flat = [x for own in lines for x in own]
+                keys = np.array([key for key, _ in found], dtype=frame["id"].dtype)
+                blocks = {
+                    "id": np.repeat(keys, [len(u) for u in uses]), "kind": "b", "idx": np.concatenate(uses), "n": np.concatenate([cut.block_size[u] for (_, cut), u in zip(found, uses)]),
+                    "digest": np.concatenate([cut.blocks()[u] for (_, cut), u in zip(found, uses)]).view(np.int64), "keys": None,
+                }
+                if len(blocks["id"]):
+                    yield pd.DataFrame(blocks)
+                if flat:
+                    digests = mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s)) for _, s in flat], np.uint64)).view(np.int64)
+                    yield pd.DataFrame({"id": np.repeat(keys, [len(x) for x in lines]), "kind": "p", "idx": [p for p, _ in flat], "n": [len(s) for _, s in flat], "digest": digests, "keys": list(all_bands([s for _, s in flat]).view(np.int64))})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     return saved(rows.mapInPandas(work, f"id {kind}, kind string, idx int, n int, digest long, keys array<long>"), "parts")
@@ -117,21 +135,22 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
                 out += [(w["digest"], cut.line(w["idx"]).view(np.int64)) for w in want]
             yield pd.DataFrame(out, columns=["digest", "s"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-        want = nodes.join(ends, "digest").groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.idx").alias("idx"), "digest")).alias("want"))
+    def sets_of(digests: DataFrame) -> DataFrame:
+        want = nodes.join(digests.distinct(), "digest").groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.idx").alias("idx"), "digest")).alias("want"))
         want = saved(want, "wanted")
-        ids = broadcast_if_small(want.select("id"))
-        own = texts.join(ids, "id", "left_semi").join(want, "id").mapInPandas(sets, "digest long, s array<long>")
-        own = saved(own.dropDuplicates(["digest"]), "sets")
+        own = texts.join(broadcast_if_small(want.select("id")), "id", "left_semi").join(want, "id").mapInPandas(sets, "digest long, s array<long>")
+        return own.dropDuplicates(["digest"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        own = saved(sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b"))), "sets")
         met = pairs.join(own.select(F.col("digest").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("digest").alias("b"), F.col("s").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
-    def may(a, b, core_a, core_b):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    def cores(open_: DataFrame) -> DataFrame:
+        return shared_cores(sets_of(open_.select(F.col("node").alias("digest"))).withColumnRenamed("digest", "id"), open_)
 
-    return components(link(buckets, may, verify)).withColumnRenamed("id", "digest")
+    return components(link(buckets, may_reach(percent), verify, cores)).withColumnRenamed("id", "digest")
 
 
 def removals(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
