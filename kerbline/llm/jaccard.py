@@ -92,18 +92,13 @@ def _postings(docs: DataFrame, groups: DataFrame, percent: int, size: int, id_co
     the original ranks first.
     """
     sample = prefixes(docs, percent, size, id_col, text_col, 32).groupBy("token").agg(F.count_distinct("grp").alias("k"))
-    hot = saved(sample.where(F.col("k") >= HOT_IN_SAMPLE).select("token"), "hot")
-    all_ = prefixes(docs, percent, size, id_col, text_col)
-    hot_side = broadcast_if_small(hot.withColumn("hot", F.lit(True)))
-    flagged = all_.join(hot_side, "token", "left")
-    # short lists: one shuffle by token for both the count and the rows; long ones are pre-aggregated and joined
-    cool = flagged.where("hot IS NULL").select("token", "grp").repartition("token").dropDuplicates(["token", "grp"])
+    # a long list's frequency is the sample's, scaled: any number will do that is the same for all rows of a shingle
+    hot = saved(sample.where(F.col("k") >= HOT_IN_SAMPLE).select("token", (F.col("k") * 32).alias("df")), "hot")
+    flagged = prefixes(docs, percent, size, id_col, text_col).join(broadcast_if_small(hot), "token", "left")
+    # short lists: one shuffle by token for both the count and the rows; long ones are dealt by token and group
+    cool = flagged.where("df IS NULL").select("token", "grp").repartition("token").dropDuplicates(["token", "grp"])
     cool = cool.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
-    if hot.isEmpty():
-        shared = saved(cool, "shared")
-    else:
-        long_ = saved(flagged.where("hot").select("token", "grp").distinct(), "long")
-        shared = saved(cool.unionByName(long_.join(long_.groupBy("token").agg(F.count("*").alias("df")), "token").select("token", "grp", "df")), "shared")
+    shared = saved(cool if hot.isEmpty() else cool.unionByName(flagged.where("df IS NOT NULL").select("token", "grp", "df").distinct()), "shared")
     each = shared.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("have"))
     alone = F.col("m") - F.size("have")
     need = groups.join(each, "grp").withColumn("need", F.col("p") - alone).where("need > 0")
