@@ -33,7 +33,7 @@ DEFAULTS: dict[str, Any] = {
         ],
     },
     "aadt": {
-        "station_key_chars": 3, "impute_groups": [["RDCLASS", "CartoClass", "MAINTENANCE"], ["RDCLASS", "CartoClass"], ["RDCLASS"]], "impute_floor": 500,
+        "station_key_chars": 3, "impute_groups": [["raw_rdclass", "raw_cartoclass", "raw_maintenance"], ["raw_rdclass", "raw_cartoclass"], ["raw_rdclass"]], "impute_floor": 500,
         "model": {"enabled": True, "eligible_rdclass": [1, 2, 3, 4, 5], "min_station_keys": 100, "min_category_station_keys": 5, "max_aadt": 110000, "cv_folds": 5, "quantile": 0.75, "max_iter": 250, "learning_rate": 0.05, "max_leaf_nodes": 15, "min_samples_leaf": 12, "l2": 2.0, "seed": 42},
     },
     "lts": {

@@ -28,8 +28,8 @@ class Build:
 def rate(edges: DataFrame, p: Params) -> DataFrame:
     """edges with snapped speed, lanes and level of stress."""
     rows = edges.withColumn("speed_mph", rules.snap_speed("speed_mph"))
-    if "lanes" not in rows.columns:
-        rows = rows.withColumn("lanes", rules.lanes("rdclass", "directional", "cartoclass", p))
+    surrogate = rules.lanes("rdclass", "directional", "cartoclass", p)
+    rows = rows.withColumn("lanes", F.coalesce("lanes", surrogate) if "lanes" in rows.columns else surrogate)
     return rows.withColumn("lts", rules.lts("fac", "rdclass", "lanes", "speed_mph", "aadt", p))
 
 
@@ -96,7 +96,7 @@ def build(spark: SparkSession, streets: DataFrame, facilities: DataFrame, statio
     zones = spatial.inside(points, districts.select("zone", "parts"), 0.01) if districts is not None else points.select("id", F.lit(None).cast("string").alias("zone"))
     edges = saved(edges.join(zones, "id"), "edges")
     plan = conflate.on_road(base, funded.where("on_road"), p)
-    better = scenario.upgrades(edges, rate(plan, p).select("id", "lts"))
+    better = scenario.upgrades(edges, rate(plan.where("fac <> 'none'"), p).select("id", "lts"))
     return Build(edges, nodes, islands, saved(barriers, "barriers"), better)
 
 

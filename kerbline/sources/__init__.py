@@ -53,7 +53,7 @@ def streets(spark: SparkSession, path: str, p: Params) -> DataFrame:
     for wrong, right in p["rdclass.typo_fixes"].items():
         cls = F.when(cls == int(wrong), right).otherwise(cls)
     out = raw.select(
-        number("SCLINK").cast("long").alias("id"), "RDCLASS", "CartoClass", "MAINTENANCE", "KYDOT", cls.alias("rdclass"), number("SPEED").alias("speed_mph"), number("CartoClass").cast("int").alias("cartoclass"),
+        number("SCLINK").cast("long").alias("id"), F.col("RDCLASS").alias("raw_rdclass"), F.col("CartoClass").alias("raw_cartoclass"), F.col("MAINTENANCE").alias("raw_maintenance"), "KYDOT", cls.alias("rdclass"), number("SPEED").alias("speed_mph"), number("CartoClass").cast("int").alias("cartoclass"),
         norm_text("ROADNAME").alias("name"), clean("MAINTENANCE").alias("maintenance"), (F.coalesce(F.trim("ONEWAY"), F.lit("B")) != "B").alias("directional"), "parts", F.col("pos").alias("row_pos"),
     )
     known = [int(k) for k in p["rdclass.labels"]]

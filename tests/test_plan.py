@@ -76,7 +76,7 @@ def test_ways_fetch_and_queries(spark, tmp_path):
 def test_build_and_publish(spark, folder, tmp_path):
     b = plan.from_files(spark, str(folder), P)
     e = {r["id"]: r for r in b.edges.collect()}
-    assert e[10]["fac"] == "lane" and e[10]["lts"] == 2 and e[20]["lts"] == 4 and e[20]["aadt"] == 8500.0 and e[20]["aadt_src"] == 0 and e[20]["cf"] == 0
+    assert e[10]["fac"] == "lane" and e[10]["lts"] == 1 and e[20]["lts"] == 4 and e[20]["aadt"] == 8500.0 and e[20]["aadt_src"] == 0 and e[20]["cf"] == 0
     assert any(r["fac"] == "path" for r in e.values()) and any(r["fac"] == "connector" for r in e.values()) and {r["zone"] for r in e.values()} == {"1"}
     assert [tuple(r) for r in b.funded.collect()] == [(20, 4, 3)]
     head = plan.publish(b, str(tmp_path / "out"), P, "v1")

@@ -113,9 +113,9 @@ def test_attachments_connectors_and_split(spark):
     paths = spark.createDataFrame([(1, line((0, 0), (100, 0), (200, 0), (400, 0)))], f"id int, parts {PARTS}")
     streets = spark.createDataFrame([(10, line((0, 10), (0, 50))), (11, line((90, 20), (110, 20))), (12, line((400, 12), (400, 90))), (13, line((200, 24), (220, 24)))], f"id int, parts {PARTS}")
     found = conflate.attachments(paths, streets, P)
-    assert sorted(r["target"] for r in found.collect()) == [10, 11, 12]  # 13 lies within the spacing of 11
+    assert sorted(r["target"] for r in found.collect()) == [10, 12, 13]  # 11 lies within the spacing of the end
     links = conflate.connectors(found).orderBy("id").collect()
-    assert [r["id"] - 900_000_000 for r in links] == [0, 1, 2] and [r["split_street_id"] for r in links] == [10, 11, 12]
+    assert [r["id"] - 900_000_000 for r in links] == [0, 1, 2] and [r["split_street_id"] for r in links] == [10, 13, 12]
     whole = spark.createDataFrame([(1, "A", line((0, 0), (10, 0))), (2, "B", line((0, 5), (10, 5)))], f"id long, name string, parts {PARTS}")
     cut = conflate.split_at(whole, spark.createDataFrame([(1, 4.0, 0.0), (1, 4.0, 0.0), (1, 0.0, 0.0)], "id long, x double, y double"))
     assert sorted((r["id"], r["name"], len(r["parts"][0])) for r in cut.collect()) == [(1, "A", 2), (2, "B", 2), (700_000_000, "A", 2)]
