@@ -24,7 +24,7 @@ def words(text: Column) -> Column:
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (doc, pos, term), one row per occurrence, stored; pos counts words from 0.
+    """Postings (doc, pos, term), one row per occurrence, stored; pos counts words from 0. Repeated rows repeat their postings.
 
     terms (term): if given, only their postings are stored (a term filter pushed into the build). It
     is broadcast while its row count allows, shuffled beyond. Texts that are null or without words
@@ -65,7 +65,7 @@ def phrases(index: DataFrame, wanted: DataFrame) -> DataFrame:
     found = lists(1)
     second = lists(2).select("key", "doc", "at")
     two = found.where("n > 1").join(second, ["key", "doc", "at"], "left_semi")
-    found = saved(found.where("n = 1").unionByName(two), "candidates")
+    found = saved(found.where("n = 1").unionByName(two).distinct(), "candidates")  # rows that repeat a document have equal postings
     done = found.where("n <= 2").select("key", "doc", "at")
     more = found.where("n > 2")
     rest = ranked.where("rank > 2").select("key", "off", "term")
@@ -73,7 +73,7 @@ def phrases(index: DataFrame, wanted: DataFrame) -> DataFrame:
     needed = more.join(rest, "key").select("key", "n", "doc", "at", "term", (F.col("at") + F.col("off")).alias("pos"))
     docs = broadcast_if_small(more.select("doc").distinct())
     have = index.join(docs, "doc", "left_semi")
-    hits = needed.join(have, ["doc", "pos", "term"]).groupBy("key", "doc", "at").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    hits = needed.join(have, ["doc", "pos", "term"]).groupBy("key", "doc", "at").agg(F.count_distinct("pos").alias("k"), F.first("n").alias("n"))
     return done.unionByName(hits.where("k = n - 2").select("key", "doc", "at"))
 
 

@@ -93,6 +93,17 @@ def test_decontamination_matches_brute_force(spark):
         assert contamination.decontaminate(d, b)[0].where("contaminated").count() == 0
 
 
+def test_repeated_rows_are_contaminated(spark):
+    a = " ".join(f"w{i}" for i in range(14))
+    texts = [(1, "x " + a + " y")] * 3 + [(2, "one two three. one two three")] * 2 + [(3, "lone")] * 2 + [(4, "none")] * 2
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, a), (2, "one two three"), (3, "lone")], "item_id long, text string")
+    rows, hits = contamination.decontaminate(docs, bench)
+    got = sorted((r["doc_id"], r["n_hit"], r["n_items"]) for r in rows.collect())
+    assert got == [(1, 14, 1)] * 3 + [(2, 6, 1)] * 2 + [(3, 1, 1)] * 2 + [(4, 0, 0)] * 2
+    assert hits.count() == hits.distinct().count() == 5 + 2 + 1
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "x " * 9 + "beta gamma"), (4, "alpha beta")], "doc_id long, text string")
     wanted = spark.createDataFrame([("k", ["alpha", "beta", "gamma"])], "key string, terms array<string>")
