@@ -2,9 +2,11 @@
 
 A paragraph is a line of at least ten words. Lines that collide in a MinHash band are verified by the
 exact Jaccard similarity of their five-word shingles, and similar ones form components. Passages need not
-fill a line, so lines are also cut into blocks that end where a word's hash says so: equal passages have
-equal blocks, wherever they stand. Of each component of lines, and of each run of blocks, the document of
-least id keeps its text, and all others lose theirs.
+fill a line, so runs of RUN_WORDS consecutive words are matched exactly, too, whatever the line breaks in
+them. Of every RUN_WINDOW runs in a row the one of least hash is indexed (winnowing), so equal passages have
+equal indexed runs: any RUN_WORDS + RUN_WINDOW - 1 words that two documents share hold one, and a longer
+shared passage is covered by them but for fewer than RUN_WINDOW words at either end. Of each component of
+lines, and of each run, the document of least id keeps its text, and all others lose theirs.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ from kerbline.llm.shingles import SIZE, mix, shingle_hashes, word_hashes
 #: Bands of ROWS MinHash values each: at a similarity of 0.8 a pair collides with probability 1 - (1 - 0.8^4)^8 = 0.986, at 0.9 with 0.9999.
 BANDS, ROWS = 8, 4
 LINE_WORDS = 10  # lines with fewer words are no paragraphs
-BLOCK_WORDS = 4  # blocks with fewer words count only between equal ones
-RUN_WORDS = 12  # words that a run of equal blocks must have at least
-_CUT = np.uint64(8)  # a block ends after one word in so many
+RUN_WORDS = 12  # words of a run
+RUN_WINDOW = 12  # of so many runs in a row one is indexed; at most RUN_WORDS, so that indexed runs leave no gap
 _RNG = np.random.default_rng(5)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -37,28 +38,32 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class Cut:
-    """A text's lines and blocks by word: hashes, first words and numbers of words."""
+    """A text's words, and its lines that hold any by first word and number of words."""
 
     def __init__(self, text: str):
         lines = text.encode("utf-8", "surrogatepass").lower().split(b"\n")
-        words = [x.split() for x in lines]
-        self.h = word_hashes([w for x in words for w in x])
-        sizes = np.array([len(x) for x in words], np.int64)
-        stops = np.cumsum(sizes)
-        self.line_start, self.line_size = stops - sizes, sizes
-        n = len(self.h)
-        ends = self.h % _CUT == 0
-        ends[stops[sizes > 0] - 1] = True
-        stop = np.nonzero(ends)[0] + 1
-        self.block_start = np.concatenate([[0], stop[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
-        self.block_size = stop - self.block_start
-
-    def blocks(self) -> np.ndarray:
-        """A digest of each block's words, in order."""
-        if not len(self.h):
-            return self.h
-        at = np.arange(len(self.h)) - np.repeat(self.block_start, self.block_size)
-        return mix(np.add.reduceat(mix(self.h + (at.astype(np.uint64) + np.uint64(1)) * _STEP), self.block_start) + self.block_size.astype(np.uint64))
+        self.words = [x for x in map(bytes.split, lines) if x]
+        self.line_size = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.line_start = np.cumsum(self.line_size) - self.line_size
+
+    @cached_property
+    def h(self) -> np.ndarray:
+        """A hash for each word."""
+        return word_hashes([w for x in self.words for w in x])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words and digests of the indexed runs; the first and the last run of a text always are."""
+        if len(self.h) < RUN_WORDS:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        digests = shingle_hashes(self.h, RUN_WORDS)
+        last = len(digests) - 1
+        chosen = np.zeros(last + 1, bool)
+        chosen[[0, last]] = True
+        if last + 1 >= RUN_WINDOW:
+            least = np.lib.stride_tricks.sliding_window_view(digests[::-1], RUN_WINDOW).argmin(axis=1)
+            chosen[last - np.arange(len(least)) - least] = True
+        at = np.flatnonzero(chosen)
+        return at, digests[at]
 
     @cached_property
     def shingles(self) -> np.ndarray:
@@ -91,7 +96,7 @@ def all_bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, idx, n, digest, keys), stored: blocks (kind b, n words) and paragraphs (kind p, n shingles, band keys)."""
+    """(id, kind, idx, n, digest, keys), stored: runs (kind r, idx the first word, n words) and paragraphs (kind p, n shingles, band keys)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(frames):
@@ -100,16 +105,12 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = [(key, Cut(text)) for key, text in zip(frame["id"].iloc[i : i + 200], frame["text"].iloc[i : i + 200]) if text]
                 if not found:
                     continue
-                uses = [np.nonzero(cut.block_size >= BLOCK_WORDS)[0] for _, cut in found]
+                runs = [cut.runs() for _, cut in found]
                 lines = [[(int(p), cut.line(p)) for p in cut.paragraphs()] for _, cut in found]
                 flat = [x for own in lines for x in own]
                 keys = np.array([key for key, _ in found], dtype=frame["id"].dtype)
-                blocks = {
-                    "id": np.repeat(keys, [len(u) for u in uses]), "kind": "b", "idx": np.concatenate(uses), "n": np.concatenate([cut.block_size[u] for (_, cut), u in zip(found, uses)]),
-                    "digest": np.concatenate([cut.blocks()[u] for (_, cut), u in zip(found, uses)]).view(np.int64), "keys": None,
-                }
-                if len(blocks["id"]):
-                    yield pd.DataFrame(blocks)
+                if any(len(at) for at, _ in runs):
+                    yield pd.DataFrame({"id": np.repeat(keys, [len(at) for at, _ in runs]), "kind": "r", "idx": np.concatenate([at for at, _ in runs]), "n": RUN_WORDS, "digest": np.concatenate([d for _, d in runs]).view(np.int64), "keys": None})
                 if flat:
                     digests = mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s)) for _, s in flat], np.uint64)).view(np.int64)
                     yield pd.DataFrame({"id": np.repeat(keys, [len(x) for x in lines]), "kind": "p", "idx": [p for p, _ in flat], "n": [len(s) for _, s in flat], "digest": digests, "keys": list(all_bands([s for _, s in flat]).view(np.int64))})
@@ -154,38 +155,29 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
 
 
 def removals(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, blocks array<int>, lines array<int>) of the documents that lose text, stored."""
+    """(id, runs array<int>, lines array<int>) of the documents that lose text, stored: first words of runs, numbers of lines."""
     own = parts(docs, id_col, text_col)
-    blocks = own.where("kind = 'b'").select("id", "idx", "digest")
-    shared = blocks.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
-    lost = blocks.join(shared.select("digest", "keeper"), "digest").where("id <> keeper").select("id", "idx", F.lit("b").alias("kind"))
+    runs = own.where("kind = 'r'").select("id", "idx", "digest")
+    shared = runs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
+    lost = runs.join(shared.select("digest", "keeper"), "digest").where("id <> keeper").select("id", "idx", F.lit("r").alias("kind"))
     lines = own.where("kind = 'p'").select("id", "idx", "n", "digest", "keys")
     comp = _similar_lines(docs, lines, percent, id_col, text_col)
     named = lines.select("id", "idx", "digest").join(comp, "digest", "left").withColumn("of", F.coalesce("component", "digest"))
     first = named.groupBy("of").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
     gone = named.join(first.select("of", "keeper"), "of").where("id <> keeper").select("id", "idx", F.lit("p").alias("kind"))
     each = lost.unionByName(gone).groupBy("id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "b", F.col("idx")))).alias("blocks"), F.array_sort(F.collect_set(F.when(F.col("kind") == "p", F.col("idx")))).alias("lines")
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "r", F.col("idx")))).alias("runs"), F.array_sort(F.collect_set(F.when(F.col("kind") == "p", F.col("idx")))).alias("lines")
     )
     return saved(each, "removals")
 
 
-def spans_to_remove(text: str, blocks, lines) -> list[tuple[int, int]]:
-    """[start, end) character spans: lines as they are, blocks in runs of RUN_WORDS words or more, with the short blocks between them."""
+def spans_to_remove(text: str, runs, lines) -> list[tuple[int, int]]:
+    """[start, end) character spans of lines and of runs of RUN_WORDS words, joined where they meet."""
     cut = Cut(text)
-    n = len(cut.h)
+    n = int(cut.line_size.sum())
     gone = np.zeros(n, bool)
-    equal = np.zeros(len(cut.block_size), bool)
-    equal[list(blocks)] = True
-    short = cut.block_size < BLOCK_WORDS
-    at = np.nonzero(equal)[0]
-    for a, b in zip(at, at[1:]):
-        if b - a > 1 and short[a + 1 : b].all():
-            equal[a:b] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
-    for a, b in zip(edges[::2], edges[1::2]):
-        if cut.block_size[a:b].sum() >= RUN_WORDS:
-            gone[cut.block_start[a] : cut.block_start[b - 1] + cut.block_size[b - 1]] = True
+    for a in runs:
+        gone[a : a + RUN_WORDS] = True
     for i in lines:
         gone[cut.line_start[i] : cut.line_start[i] + cut.line_size[i]] = True
     if not gone.any():
@@ -222,16 +214,16 @@ def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     ids = broadcast_if_small(lost.select(F.col("id").alias("_kl_id")))
     match = F.col(id_col) == F.col("_kl_id")
     rest = docs.join(ids, match, "left_anti").withColumn("removed_spans", F.array().cast(spans))
-    hit = docs.join(ids, match, "left_semi").join(lost.withColumnsRenamed({"id": "_kl_id", "blocks": "_kl_b", "lines": "_kl_p"}), match).drop("_kl_id")
+    hit = docs.join(ids, match, "left_semi").join(lost.withColumnsRenamed({"id": "_kl_id", "runs": "_kl_r", "lines": "_kl_p"}), match).drop("_kl_id")
 
     def work(frames):
         for frame in frames:
             texts, cuts = [], []
-            for text, b, p in zip(frame[text_col], frame["_kl_b"], frame["_kl_p"]):
-                found = spans_to_remove(text, b, p) if text else []
+            for text, r, p in zip(frame[text_col], frame["_kl_r"], frame["_kl_p"]):
+                found = spans_to_remove(text, r, p) if text else []
                 texts.append(without(text, found) if found else text)
                 cuts.append([{"start": a, "end": z} for a, z in found])
-            out = frame.drop(columns=["_kl_b", "_kl_p"])
+            out = frame.drop(columns=["_kl_r", "_kl_p"])
             out[text_col] = texts
             out["removed_spans"] = cuts
             yield out

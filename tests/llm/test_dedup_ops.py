@@ -78,6 +78,27 @@ def test_substring_dedup(spark):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def broken(text, sizes):
+    """The text's words in lines of the given sizes, in turn."""
+    w, out, k = text.split(), [], 0
+    while w:
+        out.append(" ".join(w[: sizes[k % len(sizes)]]))
+        w, k = w[sizes[k % len(sizes)] :], k + 1
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("one, two", [((2, 3, 1), (2, 3, 1)), ((11,), (7,)), ((3,), (60,))])
+def test_passages_in_any_lines(spark, one, two):
+    rng = random.Random(9)
+    made = [(sentence(rng, 50), sentence(rng, 20), sentence(rng, 20), sentence(rng, 20)) for _ in range(20)]
+    texts = [broken(a + " " + p, one) for p, a, _, _ in made] + [broken(b, two) + "\n" + broken(p, two) + "\n" + c for p, _, b, c in made]
+    got = {r["doc_id"]: r["text"] for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    for i, (p, _, b, c) in enumerate(made):
+        left = got[20 + i].split()
+        kept = [w for w in p.split() if w in left]
+        assert got[i] == texts[i] and left[:20] == b.split() and left[-20:] == c.split() and len(kept) <= 22
+
+
 def test_cutting_keeps_the_rest():
     assert substrings.without("ab cd ef\ngh", [(3, 5)]) == "ab ef\ngh"
     assert substrings.without("ab\ncd\nef", [(3, 5)]) == "ab\nef" and substrings.without("ab", [(0, 2)]) == ""
