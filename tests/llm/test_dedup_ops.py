@@ -99,6 +99,15 @@ def test_passages_in_any_lines(spark, one, two):
         assert got[i] == texts[i] and left[:20] == b.split() and left[-20:] == c.split() and len(kept) <= 22
 
 
+def test_only_repeats_are_removed(spark):
+    rng = random.Random(10)
+    head, foot, own = sentence(rng, 20), sentence(rng, 20), broken(sentence(rng, 300), (3, 2, 1))
+    x, y = sentence(rng, 8), sentence(rng, 8)
+    texts = [head + "\n" + foot, head + "\n" + own + "\n" + foot, sentence(rng, 9) + "\n" + x, sentence(rng, 9) + "\n" + y, sentence(rng, 9) + "\n" + x + "\n" + y]
+    got = {r["doc_id"]: r["text"] for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    assert got[1].strip() == own and all(got[i] == texts[i] for i in (0, 2, 3, 4))
+
+
 def test_cutting_keeps_the_rest():
     assert substrings.without("ab cd ef\ngh", [(3, 5)]) == "ab ef\ngh"
     assert substrings.without("ab\ncd\nef", [(3, 5)]) == "ab\nef" and substrings.without("ab", [(0, 2)]) == ""
