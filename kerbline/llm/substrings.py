@@ -6,7 +6,8 @@ fill a line, so runs of RUN_WORDS consecutive words are matched exactly, too, wh
 them. Of every RUN_WINDOW runs in a row the one of least hash is indexed (winnowing), so equal passages have
 equal indexed runs: any RUN_WORDS + RUN_WINDOW - 1 words that two documents share hold one, and a longer
 shared passage is covered by them but for fewer than RUN_WINDOW words at either end. Of each component of
-lines, and of each run, the document of least id keeps its text, and all others lose theirs.
+lines the document of least id keeps its text, and all others lose theirs. Runs are settled on what is left
+then: those that touch a lost line neither keep nor lose, and of each other run the document of least id keeps it.
 """
 
 from __future__ import annotations
@@ -65,6 +66,11 @@ class Cut:
         at = np.flatnonzero(chosen)
         return at, digests[at]
 
+    def lines_of_runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last line that runs with these first words touch."""
+        of_word = np.repeat(np.arange(len(self.line_size)), self.line_size)
+        return of_word[at], of_word[at + RUN_WORDS - 1]
+
     @cached_property
     def shingles(self) -> np.ndarray:
         """A hash for every SIZE words of the text, across lines, too."""
@@ -96,7 +102,7 @@ def all_bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, idx, n, digest, keys), stored: runs (kind r, idx the first word, n words) and paragraphs (kind p, n shingles, band keys)."""
+    """(id, kind, idx, n, line, digest, keys), stored: runs (kind r, idx the first word, line the first line, n lines more) and paragraphs (kind p, idx the line, n shingles, band keys)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(frames):
@@ -110,13 +116,15 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 flat = [x for own in lines for x in own]
                 keys = np.array([key for key, _ in found], dtype=frame["id"].dtype)
                 if any(len(at) for at, _ in runs):
-                    yield pd.DataFrame({"id": np.repeat(keys, [len(at) for at, _ in runs]), "kind": "r", "idx": np.concatenate([at for at, _ in runs]), "n": RUN_WORDS, "digest": np.concatenate([d for _, d in runs]).view(np.int64), "keys": None})
+                    first, last = (np.concatenate(x) for x in zip(*(cut.lines_of_runs(at) for (_, cut), (at, _) in zip(found, runs))))
+                    at, digests = (np.concatenate(x) for x in zip(*runs))
+                    yield pd.DataFrame({"id": np.repeat(keys, [len(at) for at, _ in runs]), "kind": "r", "idx": at, "n": last - first, "line": first, "digest": digests.view(np.int64), "keys": None})
                 if flat:
                     digests = mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s)) for _, s in flat], np.uint64)).view(np.int64)
-                    yield pd.DataFrame({"id": np.repeat(keys, [len(x) for x in lines]), "kind": "p", "idx": [p for p, _ in flat], "n": [len(s) for _, s in flat], "digest": digests, "keys": list(all_bands([s for _, s in flat]).view(np.int64))})
+                    yield pd.DataFrame({"id": np.repeat(keys, [len(x) for x in lines]), "kind": "p", "idx": [p for p, _ in flat], "n": [len(s) for _, s in flat], "line": [p for p, _ in flat], "digest": digests, "keys": list(all_bands([s for _, s in flat]).view(np.int64))})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return saved(rows.mapInPandas(work, f"id {kind}, kind string, idx int, n int, digest long, keys array<long>"), "parts")
+    return saved(rows.mapInPandas(work, f"id {kind}, kind string, idx int, n int, line int, digest long, keys array<long>"), "parts")
 
 
 def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -157,14 +165,20 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
 def removals(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, runs array<int>, lines array<int>) of the documents that lose text, stored: first words of runs, numbers of lines."""
     own = parts(docs, id_col, text_col)
-    runs = own.where("kind = 'r'").select("id", "idx", "digest")
-    shared = runs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
-    lost = runs.join(shared.select("digest", "keeper"), "digest").where("id <> keeper").select("id", "idx", F.lit("r").alias("kind"))
     lines = own.where("kind = 'p'").select("id", "idx", "n", "digest", "keys")
     comp = _similar_lines(docs, lines, percent, id_col, text_col)
     named = lines.select("id", "idx", "digest").join(comp, "digest", "left").withColumn("of", F.coalesce("component", "digest"))
     first = named.groupBy("of").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
     gone = named.join(first.select("of", "keeper"), "of").where("id <> keeper").select("id", "idx", F.lit("p").alias("kind"))
+    gone = saved(gone, "gone")
+    runs = own.where("kind = 'r'").select("id", "idx", "digest", "line", "n")
+    shared = runs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
+    runs = saved(runs.join(shared.select("digest"), "digest", "left_semi"), "shared")
+    touched = runs.select("id", F.col("idx").alias("at"), F.explode(F.expr("sequence(line, line + n)")).alias("idx"))
+    cut = touched.join(gone.select("id", "idx"), ["id", "idx"], "left_semi").select("id", F.col("at").alias("idx")).distinct()
+    runs = saved(runs.join(cut, ["id", "idx"], "left_anti").select("id", "idx", "digest"), "left")
+    keepers = runs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
+    lost = runs.join(keepers.select("digest", "keeper"), "digest").where("id <> keeper").select("id", "idx", F.lit("r").alias("kind"))
     each = lost.unionByName(gone).groupBy("id").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "r", F.col("idx")))).alias("runs"), F.array_sort(F.collect_set(F.when(F.col("kind") == "p", F.col("idx")))).alias("lines")
     )

@@ -108,6 +108,16 @@ def test_only_repeats_are_removed(spark):
     assert got[1].strip() == own and all(got[i] == texts[i] for i in (0, 2, 3, 4))
 
 
+def test_a_copy_of_each_passage_stays(spark):
+    rng = random.Random(11)
+    page, inner = sentence(rng, 400), sentence(rng, 60)
+    w = page.split()
+    texts = [page, " ".join(w[:200] + [inner] + w[200:]), *(sentence(rng, 30) + " " + inner + " " + sentence(rng, 30) for _ in range(2))]
+    got = {r["doc_id"]: r["text"] for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    assert got[0] == texts[0] and got[1] == "" and got[2] == texts[2]
+    assert len(got[3].split()) <= 82 and got[3].split()[:30] == texts[3].split()[:30]
+
+
 def test_cutting_keeps_the_rest():
     assert substrings.without("ab cd ef\ngh", [(3, 5)]) == "ab ef\ngh"
     assert substrings.without("ab\ncd\nef", [(3, 5)]) == "ab\nef" and substrings.without("ab", [(0, 2)]) == ""
