@@ -8,6 +8,8 @@ that no link within a dense group depends on the window.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -46,6 +48,18 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: s
 PART_ROWS = 40_000
 
 
+def effort(n: int, threshold: float, passes: int, planes: int, window: int, miss: float) -> tuple[int, int]:
+    """(passes, planes), at least those given, with which a lone pair at the threshold among n vectors of a label is missed with a probability of `miss`.
+
+    Neighbours in a pass share about log2(n / window) leading bits, and a bit is shared with probability
+    1 - angle / pi; so passes grow as a small power of n (0.18 at 0.93). Vectors are taken as evenly spread.
+    """
+    shared = max(0.0, math.log2(max(n, 1) / window))
+    meet = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** shared
+    needed = math.ceil(math.log(miss) / math.log1p(-meet)) if 0 < meet < 1 else 1
+    return max(passes, needed), max(planes, 8 * math.ceil((math.log2(max(n, 1)) + 4) / 8))
+
+
 def _passes(reps: DataFrame, threshold: float, passes: int, planes: int, window: int, seed: int) -> DataFrame:
     """(a, b) verified pairs of neighbours in each pass's order.
 
@@ -66,10 +80,9 @@ def _passes(reps: DataFrame, threshold: float, passes: int, planes: int, window:
                 x = _unit(frame["v"][at])
                 if size not in made:
                     made[size] = np.random.default_rng([seed, int(size)]).normal(size=(size, passes * planes))
-                bits = np.packbits(x @ made[size] > 0, axis=1)
-                wide = planes // 8
                 for p in range(passes):
-                    yield pd.DataFrame({"pass": p, "rep": frame["rep"][at], "label": frame["label"][at], "size": int(size), "key": [b[p * wide : (p + 1) * wide].tobytes() for b in bits], "v": frame["v"][at]})
+                    bits = np.packbits(x @ made[size][:, p * planes : (p + 1) * planes] > 0, axis=1)
+                    yield pd.DataFrame({"pass": p, "rep": frame["rep"][at], "label": frame["label"][at], "size": int(size), "key": [b.tobytes() for b in bits], "v": frame["v"][at]})
 
     keys = reps.select("rep", "label", "v").mapInPandas(keyed, f"pass int, rep {kind}, label {label}, size int, key binary, v {vector}")
     order = ["pass", "label", "size", "key", "rep"]
@@ -139,16 +152,19 @@ def _within(reps: DataFrame, comp: DataFrame, threshold: float, block: int) -> D
     return rows.groupBy("component", "i", "j").applyInPandas(count, f"rep {kind}, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 8, planes: int = 24, window: int = 12, block: int = 1000, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 8, planes: int = 24, window: int = 12, miss: float = 0.005, block: int = 1000, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: (id, n_links, component_id, kept).
 
     n_links counts other ids linked directly, component_id is the least id reachable, kept says whether
     that is the row's own. Equal vectors of a label link with each other. Rows that are null, zero, hold
     null or non-finite numbers or have no label link with nothing; vectors of different lengths never
     link. Rows that repeat an id and vector are one vector. Null ids have null components. Recall of
-    links between groups depends on passes, planes and window; it is measured in the tests.
+    links between groups is kept by effort(): passes and planes are the least that are made, and grow with
+    the rows of the largest label. It is measured in the tests.
     """
     member, reps = distinct_vectors(vectors, id_col, vec_col, label_col)
+    most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    passes, planes = effort(most, threshold, passes, planes, window, miss)
     comp = saved(components(_passes(reps, threshold, passes, planes, window, seed)), "components")
     links = saved(_within(reps, comp, threshold, block), "links")
     per = reps.select("rep", "copies").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")

@@ -154,6 +154,18 @@ def test_vectors_match_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_recall_in_a_large_label(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(300, 64))
+    y -= (y * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+    y = 0.935 * x[:300] + np.sqrt(1 - 0.935**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(np.concatenate([x, y]).tolist())), "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    got = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicates(df).where("n_links > 0").collect()}
+    assert sum(got.get(20_000 + i) == i for i in range(300)) >= 294
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(8)
