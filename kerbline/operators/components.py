@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.storage import saved
+from kerbline.storage import discard, saved
 
 
 def _to_minimum(directed: DataFrame) -> DataFrame:
@@ -15,7 +15,12 @@ def _to_minimum(directed: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
-    """(id, component): the least id reachable, for every id in some link; self links and nulls are ignored."""
+    """(id, component): the least id reachable, for every id in some link.
+
+    Large-star and small-star steps (Kiveris et al. 2014) on an edge table in shared storage; no neighbour list is
+    gathered in a task, and a round's table goes once the next is written. Self links and nulls are ignored,
+    repeated links count once; no links give an empty table.
+    """
     pairs = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     edges, state = saved(pairs.where("u <> v").distinct(), "cc"), None
     while True:
@@ -23,7 +28,9 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         large = _to_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         star = _to_minimum(large)
         small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", F.col("m").alias("v")))
-        edges = saved(small.where("u <> v").distinct(), "cc")
+        after = saved(small.where("u <> v").distinct(), "cc")
+        discard(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

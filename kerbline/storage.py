@@ -13,23 +13,40 @@ BROADCAST_ROWS = 1_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a private one in local mode; an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="kerbline-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the scratch root."""
+    return f"{scratch_root(spark)}/kerbline/{label}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """df as written to the shared scratch folder and read back."""
-    path = f"{scratch_root(df.sparkSession)}/kerbline/{label}-{uuid.uuid4().hex}"
+    """df as written to the shared scratch folder and read back; a lost executor costs a task, not the table."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; as it is beyond, for a shuffle join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames that saved() returned; nothing may read them afterwards."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; as it is beyond, for a shuffle join. rows: its count, if known."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
