@@ -1,20 +1,23 @@
 """Linking the members of buckets without listing all pairs of a bucket.
 
-Rows (bucket, node, size, rank) say that nodes of a bucket may be similar. Each bucket's members first meet
-its pivot alone, the member of least rank, of those the largest. What is linked then shares a component, and only members whose
-component differs from the pivot's meet the rest of the bucket. So a bucket of m copies costs m comparisons,
-and no pair of nodes in different components that share a bucket is left out.
+Rows (bucket, node, size, rank, pos) say that nodes of a bucket may be similar. Each bucket's members first meet
+its pivot alone, the member of least rank, of those the largest. What is linked then shares a component, and only
+members whose component differs from the pivot's meet the rest of the bucket. So a bucket of m copies costs m
+comparisons, and no pair of nodes in different components that share a bucket is left out.
+
+A node may stand for a group whose members have the same size and the same rows: pairs of groups are filtered
+first, and only then expanded to their members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import saved
-from kerbline.llm.components import components
+from kerbline.llm.common import broadcast_if_small, saved
+from kerbline.operators.components import components
 
 #: Words of 64 bits of the maps that bound what two sets share before the sets meet.
 WORDS = 8
@@ -31,77 +34,122 @@ def shared_cores(sets: DataFrame, open_: DataFrame) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("token"), F.lit(64)).cast("int"))
     word = F.pmod(F.shiftright("token", 6), F.lit(WORDS))
     maps = F.struct(*(F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)))
-    return have.join(across, "token", "left_semi").groupBy("node").agg(F.struct(F.count("*").alias("all"), maps.alias("map")).alias("core"))
+    cores = have.join(across, "token", "left_semi").groupBy("node")
+    return cores.agg(F.struct(F.count("*").alias("all"), maps.alias("map")).alias("core"))
+
 
+def may_reach(percent: int) -> Callable[[str, str], Column]:
+    """The condition of link() for a Jaccard similarity of percent / 100, over columns of two prefixes.
 
-def may_reach(percent: int) -> Callable:
-    """The condition of link() for a Jaccard similarity of percent / 100: by sizes, and by shared_cores() once they are known."""
+    By sizes; by the places (from 0) of the bucket's element in both sets, which share no more than the
+    lesser place before it and the lesser rest behind it; and by shared_cores() once they are known.
+    """
 
-    def most(x, y):
+    def most(x: Column, y: Column) -> Column:
         # each bit of a core that the other map lacks is one element less
         return x["all"] - sum((F.bit_count(x["map"][f"w{k}"].bitwiseAND(F.bitwise_not(y["map"][f"w{k}"]))) for k in range(WORDS)), F.lit(0))
 
-    def may(a, b, core_a, core_b):
-        fits = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-        if core_a is None:
-            return fits
+    def may(one: str, two: str, cores: bool = False) -> Column:
+        a, b, i, j = F.col(f"{one}size"), F.col(f"{two}size"), F.col(f"{one}pos"), F.col(f"{two}pos")
         needed = (a + b) * percent  # a link needs t / (1 + t) of both sizes in common
-        return fits & (F.least(core_a["all"], core_b["all"]) * (100 + percent) >= needed) & (F.least(most(core_a, core_b), most(core_b, core_a)) * (100 + percent) >= needed)
+        common = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
+        fits = (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (common * (100 + percent) >= needed)
+        if not cores:
+            return fits
+        x, y = F.col(f"{one}core"), F.col(f"{two}core")
+        fits = fits & (F.least(x["all"], y["all"]) * (100 + percent) >= needed)
+        return fits & (F.least(most(x, y), most(y, x)) * (100 + percent) >= needed)
 
     return may
 
 
-def _first():
-    return F.min(F.struct("rank", (-F.col("size")).alias("s"), "node", "size")).alias("p")
+def _first() -> Column:
+    return F.min(F.struct("rank", (-F.col("size")).alias("s"), "node", "size", "pos")).alias("p")
 
 
 def crowded(rows: DataFrame) -> DataFrame:
-    """(bucket, node, size, pivot, pivot_size, rank) of buckets that hold two nodes or more; stored.
+    """(bucket, node, size, pos, rank, pivot, pivot_size, pivot_pos) of buckets that hold two nodes or more; stored.
 
-    rows: (bucket, node, size, rank), one for each bucket and node. Pivots are pre-aggregated, and rows
+    rows: (bucket, node, size, rank, pos), one for each bucket and node. Pivots are pre-aggregated, and rows
     meet them in a join whose skewed keys Spark splits, so a bucket may hold any share of all rows.
     """
     pivots = rows.groupBy("bucket").agg(_first(), F.count("*").alias("m")).where("m > 1")
     met = rows.join(pivots, "bucket")
-    return saved(met.select("bucket", "node", "size", "rank", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size")), "buckets")
+    pivot = (F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("size", "pos"))
+    return saved(met.select("bucket", "node", "size", "pos", "rank", F.col("p.node").alias("pivot"), *pivot), "buckets")
 
 
 def _pairs(rows: DataFrame, other: str) -> DataFrame:
     return rows.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
-def link(buckets: DataFrame, may: Callable, verify: Callable[[DataFrame], DataFrame], cores: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
+def _widen(rows: DataFrame, members: DataFrame | None) -> DataFrame:
+    """rows with each group in `node` replaced by its members."""
+    if members is None:
+        return rows
+    own = members.select(F.col("lead").alias("node"), F.col("node").alias("_member"))
+    return rows.join(own, "node", "left").withColumn("node", F.coalesce("_member", "node")).drop("_member")
+
+
+def _open(buckets: DataFrame, comp: DataFrame, members: DataFrame | None) -> DataFrame:
+    """(bucket, node, size, pos, rank, of, of_pivot) of the buckets whose nodes lie in several components; stored.
+
+    comp: (node, component). Groups are expanded only in those buckets; each group is a bucket of its own, too.
+    """
+    spans = comp.select("node", F.col("component").alias("lo"), F.col("component").alias("hi"))
+    if members is not None:
+        inside = F.coalesce("component", "node")
+        of_group = members.join(comp, "node", "left").groupBy("lead").agg(F.min(inside).alias("lo"), F.max(inside).alias("hi"))
+        of_group = of_group.withColumnRenamed("lead", "node")
+        spans = spans.join(of_group.select("node"), "node", "left_anti").unionByName(of_group)
+    wide = buckets.join(spans, "node", "left").groupBy("bucket")
+    wide = wide.agg(F.min(F.coalesce("lo", "node")).alias("lo"), F.max(F.coalesce("hi", "node")).alias("hi")).where("lo <> hi")
+    wide = saved(wide.select("bucket"), "open")
+    rows = _widen(buckets.join(broadcast_if_small(wide), "bucket", "left_semi").drop("pivot_size", "pivot_pos"), members)
+    if members is not None:
+        whole = members.withColumns({"bucket": F.xxhash64("lead"), "rank": F.lit(0.0), "pos": F.lit(0)}).withColumnRenamed("lead", "pivot")
+        rows = rows.unionByName(whole.select(rows.columns))
+    rows = rows.join(comp, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+    rows = rows.join(comp.select(F.col("node").alias("pivot"), "component"), "pivot", "left")
+    return saved(rows.select("bucket", "node", "size", "pos", "rank", "of", F.coalesce("component", "pivot").alias("of_pivot")), "outside")
+
+
+def link(
+    buckets: DataFrame, may: Callable, verify: Callable[[DataFrame], DataFrame], cores: Callable[[DataFrame], DataFrame] | None = None,
+    members: DataFrame | None = None, rounds: int = 2,
+) -> DataFrame:
     """(a, b) links, a < b, that connect whatever verified pairs within buckets connect.
 
-    buckets: of crowded(). may(size, size, core, core): a Column, false where a link is impossible; cores are
-    None until cores(nodes) is asked, which returns (node, core) for nodes (node, component): what is known of
-    a node's elements that some node of another component has. verify keeps the linked ones of (a, b) pairs. In the
-    first rounds members outside their pivot's component meet a pivot of their own; the last one compares
-    those that are left with all members of their bucket in other components, so no result depends on
-    the number of rounds.
+    buckets: of crowded(). members (lead, node, size): all members of each group of several nodes, the lead, which
+    stands for the group in buckets, included. may(one, two, cores): a Column over the columns size, pos and core
+    with these prefixes, false where a link is impossible. cores(nodes) returns (node, core) for nodes (node,
+    component): what is known of a node's elements that some node of another component has. verify keeps the
+    linked ones of (a, b) pairs of nodes. Pairs of a group and its pivot group are filtered, then each member
+    meets the pivot. In later rounds members outside their pivot's component meet a pivot of their own; the last
+    one compares those that are left with all members of their bucket in other components, so no result depends
+    on the number of rounds.
     """
-    own = buckets.where("node <> pivot").where(may(F.col("size"), F.col("pivot_size"), None, None))
-    tried = saved(_pairs(own, "pivot"), "pairs")
+    groups = buckets.where("node <> pivot").where(may("", "pivot_")).select("node", "pivot").distinct()
+    if members is not None:
+        groups = _widen(saved(groups, "group-pairs"), members)
+        groups = groups.unionByName(members.where("node <> lead").select("node", F.col("lead").alias("pivot")))
+    tried = saved(_pairs(groups, "pivot"), "pairs")
     links = saved(verify(tried), "links")
     for step in range(rounds):
-        comp = saved(components(links), "components")
-        named = comp.select(F.col("id").alias("node"), "component")
-        rows = buckets.join(named, "node", "left").join(named.select(F.col("node").alias("pivot"), F.col("component").alias("_p")), "pivot", "left")
-        rows = rows.select("bucket", "node", "size", "rank", F.coalesce("component", "node").alias("of"), F.coalesce("_p", "pivot").alias("of_pivot"))
-        left = saved(rows.where("of <> of_pivot").select("bucket", "node", "size", "rank", "of"), "outside")
+        comp = saved(components(links, "a", "b").select(F.col("id").alias("node"), "component"), "components")
+        rows = _open(buckets, comp, members)
+        left = rows.where("of <> of_pivot").drop("of_pivot")
         if step < rounds - 1:
-            lead = left.groupBy("bucket").agg(_first()).select("bucket", F.col("p.node").alias("to"), F.col("p.size").alias("to_size"))
-            met = left.join(lead, "bucket").where("node <> to").where(may(F.col("size"), F.col("to_size"), None, None))
+            lead = left.groupBy("bucket").agg(_first()).select("bucket", *(F.col(f"p.{c}").alias(f"to_{c}") for c in ("node", "size", "pos")))
+            met = left.join(lead, "bucket").where("node <> to_node").where(may("", "to_"))
         else:
-            rest = rows.join(left.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node", "size", "of")
+            rest = rows.drop("of_pivot", "rank")
             if cores is not None:
-                rest = saved(rest, "open")
                 core = saved(cores(rest.select("node", F.col("of").alias("component")).distinct()), "cores")
                 rest, left = rest.join(core, "node"), left.join(core, "node")
-            rest = rest.withColumnsRenamed({c: f"to_{c}" for c in rest.columns if c != "bucket"}).withColumnRenamed("to_node", "to")
-            both = (F.col("core"), F.col("to_core")) if cores is not None else (None, None)
-            met = left.join(rest, "bucket").where("of <> to_of").where(may(F.col("size"), F.col("to_size"), *both))
-        new = saved(_pairs(met, "to").join(tried, ["a", "b"], "left_anti"), "pairs")
+            rest = rest.withColumnsRenamed({c: f"to_{c}" for c in rest.columns if c != "bucket"})
+            met = left.join(rest, "bucket").where("of <> to_of").where(may("", "to_", cores is not None))
+        new = saved(_pairs(met, "to_node").join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
         tried = tried.unionByName(new)

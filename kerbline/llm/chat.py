@@ -79,7 +79,9 @@ def pair_up(talks: DataFrame) -> DataFrame:
     Conversations with equal first turns are put in order of their trained text's length, longest first,
     then id; each is chosen over its successor, so a group of n gives n - 1 pairs. A conversation that no
     other opens like, and the last of a group, is chosen over its own beginning without the last turn.
-    Order within a group comes from range-sorted rows and their neighbours, not from a task per group.
+    Pairs are thus made up from the table itself, which names no preference. Order within a group comes from
+    range-sorted rows and their neighbours, not from a task per group. talks: of conversations(), whose
+    conversations are neither null nor empty; an empty table gives no pairs.
     """
     first = F.sha2(F.to_json(_key(F.element_at("turns", 1))).cast("binary"), 256)
     worth = F.aggregate("turns", F.lit(0), lambda acc, t: acc + F.when(t["role"] == TRAINED_ROLE, F.length(t["text"])).otherwise(0))
@@ -92,6 +94,10 @@ def pair_up(talks: DataFrame) -> DataFrame:
     after = heads.select("opening", "slice", F.lead("head").over(Window.partitionBy("opening").orderBy("slice")).alias("later"))
     linked = inner.join(after, ["opening", "slice"]).select("conv_id", F.coalesce("next", "later").alias("rejected_id"))
     other = talks.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected"))
-    out = talks.join(linked, "conv_id").join(other, "rejected_id", "left")
+    out = talks.join(linked, "conv_id")
     own = F.slice("turns", 1, F.greatest(F.size("turns") - 1, F.lit(0)))
-    return out.select(F.col("conv_id").alias("pair_id"), "rejected_id", F.col("turns").alias("chosen"), F.coalesce("rejected", own).alias("rejected"))
+    # those without a successor need no join, in which their null keys would all meet in one task
+    met = out.where("rejected_id IS NOT NULL").join(other, "rejected_id")
+    lone = out.where("rejected_id IS NULL").withColumn("rejected", own)
+    columns = [F.col("conv_id").alias("pair_id"), "rejected_id", F.col("turns").alias("chosen"), "rejected"]
+    return met.select(columns).unionByName(lone.select(columns))

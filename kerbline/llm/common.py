@@ -1,64 +1,43 @@
-"""Shared plumbing of the corpus operators: tables, scratch storage, reductions."""
+"""Shared plumbing of the corpus operators: tables, held-out rows, tidy Python tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows of a few longs may be broadcast (checked by counting it first).
-BROADCAST_ROWS = 1_000_000
+from kerbline.storage import BROADCAST_ROWS, discard, saved, scratch_path
+from kerbline.storage import small as broadcast_if_small
+
+__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "discard", "held_out", "saved", "scratch_path", "table", "tidy", "union_all"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="kerbline-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/kerbline/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared scratch folder and read it back.
-
-    Survives lost executors, since the files are in shared storage.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work for mapInPandas, after which the worker gives freed memory back: workers live on, and their peaks would add up."""
 
+    def run(frames: Iterator) -> Iterator:
+        try:
+            yield from work(frames)
+        finally:
+            import ctypes
 
-def discard(*frames: DataFrame) -> None:
-    """Delete the files behind frames that saved() returned."""
-    for df in frames:
-        spark = df.sparkSession
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            import pyarrow as pa
 
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows; unchanged beyond (a shuffle join then)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return run
 
 
-def held_out(col: str = "doc_id"):
+def held_out(col: str = "doc_id") -> Column:
     """True for the third of the rows whose labels are never learnt from."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 

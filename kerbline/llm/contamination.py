@@ -105,19 +105,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     document each in n_words, but share their hits; null ids are clean. Extra columns are ignored. No
     benchmark rows: every document is clean.
     """
-    windows = _windows(items, size, item_col, item_text)
-    windows = saved(windows.groupBy("terms").agg(F.collect_set("item").alias("items")), "windows")
-    index = build_index(docs, windows.select(F.explode("terms").alias("term")), id_col, text_col)
-    wanted = windows.select(F.xxhash64("terms").alias("key"), "terms", "items")
-    places = saved(phrases(index, wanted.select("key", "terms")), "places")
-    named = wanted.select("key", F.size("terms").alias("n"), "items")
-    named = broadcast_if_small(named)
-    hits = places.join(named, "key")
+    # words hold no space, so a window's joined words stand for it; 128 bits keep all windows apart
+    key = F.unhex(F.md5(F.array_join("terms", " ").cast("binary")))
+    windows = saved(_windows(items, size, item_col, item_text).select(key.alias("key"), "item", "terms").dropDuplicates(["key", "item"]), "windows")
+    wanted = saved(windows.select("key", "terms").dropDuplicates(["key"]), "phrases")
+    index = build_index(docs, wanted.select(F.explode("terms").alias("term")), id_col, text_col)
+    places = saved(phrases(index, wanted), "places")
+    hits = places.join(broadcast_if_small(wanted.select("key", F.size("terms").alias("n"))), "key")
+    owners = broadcast_if_small(windows.select("key", "item"))
     spans = hits.groupBy("doc", "at").agg(F.max("n").alias("n"))  # one span for each start: overlaps are cut below
     over = W.partitionBy("doc").orderBy("at")
     before = F.coalesce(F.max(F.col("at") + F.col("n")).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cover = spans.select("doc", F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest("at", before)).alias("c")).groupBy("doc").agg(F.sum("c").alias("n_hit"))
-    of_doc = hits.select("doc", F.explode("items").alias("item")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
+    of_doc = places.select("doc", "key").distinct().join(owners, "key").select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
     per = cover.join(of_doc, "doc").withColumnRenamed("doc", "_doc")
     rows = docs.select(F.col(id_col).alias(id_col), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     out = rows.join(per, F.col(id_col) == F.col("_doc"), "left").select(
@@ -126,4 +126,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
-    return out, hits.select(F.explode("items").alias("item"), "doc", "at", "n")
+    return out, hits.join(owners, "key").select("item", "doc", "at", "n")

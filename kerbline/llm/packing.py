@@ -8,19 +8,20 @@ into the patterns' places by their rank among the documents of equal length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import saved
+from kerbline.llm.common import saved, tidy
 
 _RUN = re.compile(r"\s\s")
 
@@ -30,54 +31,58 @@ class Encoder:
 
     Where a file's merges stand in the order of their ids, pairs are merged by tiktoken with the file's
     own vocabulary: the same ids in a fifth of the time. Texts with a special token, and files of another
-    kind, go through tokenizers.
+    kind, go through tokenizers. Each part is loaded when a text first needs it.
     """
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.special = re.compile("|".join(special) or r"(?!)")
+        self.ranks = _ranks(spec)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain, self.spaced = _ranked(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or r"(?!)")
+        return Tokenizer.from_file(self.path)
+
+    def _pairs(self, tail: str):
+        import tiktoken
+
+        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
+        return tiktoken.Encoding(self.path, pat_str=pattern + tail, mergeable_ranks=self.ranks, special_tokens={})
+
+    @cached_property
+    def plain(self):
+        """For texts without runs of white space."""
+        return self._pairs(r"\s+")
+
+    @cached_property
+    def spaced(self):
+        return self._pairs(r"\s+(?!\S)|\s+")
 
     def __call__(self, text: str) -> bytes:
-        if self.plain is None or self.special.search(text):
+        if self.ranks is None or self.special.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         # runs of white space need the pattern's slow look-ahead; single ones never do
         pairs = self.spaced if _RUN.search(text) else self.plain
         return array("I", pairs.encode_ordinary(text)).tobytes()
 
 
-def _ranked(path: str):
-    """tiktoken encoders of a byte-level BPE file whose merges stand in the order of their ids, else None.
-
-    The first is for texts without runs of white space, the second for any.
-    """
-    import json
-
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of a byte-level BPE file's tokens if its merges stand in the order of their ids, else None."""
     model, cut = spec["model"], spec.get("pre_tokenizer") or {}
     plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not spec.get("normalizer")
     vocab = model.get("vocab", {})
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    merges = (m.split(" ") if isinstance(m, str) else m for m in model.get("merges", []))
     if model.get("type") != "BPE" or not plain or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
-        return None, None
+        return None
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(shown))}
     special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
-    return [tiktoken.Encoding(path, pat_str=pattern + tail, mergeable_ranks=ranks, special_tokens={}) for tail in (r"\s+", r"\s+(?!\S)|\s+")]
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, not for each task."""
-    return Encoder(path)
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,9 +103,10 @@ def tokenise(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, seen, chunk = encoder(tokenizer_path), Counter(), TaskContext.get().partitionId()
+        encode, seen, chunk = None, Counter(), TaskContext.get().partitionId()
         for frame in frames:
             rows = []
+            encode = encode or Encoder(tokenizer_path)  # the task's own: workers live on, and it should not
             for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
                 ids = (encode(text) if text else b"") + end
                 first = len(ids) % width or width
@@ -115,7 +121,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int
     # ids pass Python as text, where a null among whole numbers would make them floats
     out = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     schema = "id string, piece int, start long, length long, ids_crc32 long, ids binary, chunk int, k long"
-    made = out.mapInPandas(work, schema)
+    made = out.mapInPandas(tidy(work), schema)
     return saved(made.withColumn("id", F.col("id").cast(kind)), "pieces")
 
 
@@ -153,7 +159,8 @@ def local_search(bins: Counter, size: int) -> Counter:
     """Move, swap one for one or two for one between underfull patterns while the sum of squared fills grows.
 
     Each exchange gives an item, or a larger item or two for a smaller one, to a bin at least as full as
-    the giver; so the sum strictly grows, the search ends, and a bin left without items is gone.
+    the giver; so the sum strictly grows, the search ends, and a bin left without items is gone. A bin is
+    settled only when no exchange with any other underfull bin would fill it further.
     """
     bins = Counter(bins)
     under = Counter({p: c for p, c in bins.items() if sum(p) < size})
@@ -163,15 +170,15 @@ def local_search(bins: Counter, size: int) -> Counter:
     while moved:
         moved = False
         emptiest = sorted(under, key=sum)
-        one: dict[int, tuple] = {}
-        two: dict[int, tuple] = {}
+        one: dict[int, list] = {}  # by what is given: the givers, emptiest first
+        two: dict[int, list] = {}
         for q in emptiest:
             kinds = sorted(set(q))
             for i, x in enumerate(kinds):
-                one.setdefault(x, q)
+                one.setdefault(x, []).append((q, x))
                 for y in kinds[i:]:
                     if x != y or q.count(x) > 1:
-                        two.setdefault(x + y, (q, x, y))
+                        two.setdefault(x + y, []).append((q, x, y))
         singles, pairs = sorted(one), sorted(two)
         for p in reversed(emptiest):
             gap = size - sum(p)
@@ -179,16 +186,14 @@ def local_search(bins: Counter, size: int) -> Counter:
                 continue
             best = None
             for y in (0, *sorted(set(p))):
-                for names, kind in ((singles, one), (pairs, two) if y else ([], None)):
+                for names, kind in ((singles, one), (pairs, two) if y else ([], {})):
                     i = bisect_right(names, y + gap) - 1
-                    tried = 0
-                    while i >= 0 and names[i] > y and tried < 8 and (best is None or names[i] - y > best[0]):
-                        found = kind[names[i]]
-                        q, items = (found, (names[i],)) if kind is one else (found[0], found[1:])
-                        if under[q] > (q == p) and sum(q) <= sum(p):
-                            best = (names[i] - y, q, items, y)
+                    while i >= 0 and names[i] > y and (best is None or names[i] - y > best[0]):
+                        giver = next((x for x in kind[names[i]] if under[x[0]] > (x[0] == p)), None)
+                        if giver and sum(giver[0]) <= sum(p):
+                            best = (names[i] - y, giver[0], giver[1:], y)
                             break
-                        i, tried = i - 1, tried + 1
+                        i -= 1
             if best is None:
                 continue
             _, q, items, y = best

@@ -10,7 +10,7 @@ from kerbline.llm.common import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    back = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     return back.select(
         F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"),

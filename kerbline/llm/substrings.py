@@ -1,13 +1,16 @@
 """Substring dedup: paragraph MinHash banding, exact verification, removals clustered by components.
 
-A paragraph is a line of at least ten words. Lines that collide in a MinHash band are verified by the
+A paragraph is a line of PASSAGE_WORDS words or more. Lines that collide in a MinHash band are verified by the
 exact Jaccard similarity of their five-word shingles, and similar ones form components. Passages need not
-fill a line, so runs of RUN_WORDS consecutive words are matched exactly, too, whatever the line breaks in
-them. Of every RUN_WINDOW runs in a row the one of least hash is indexed (winnowing), so equal passages have
-equal indexed runs: any RUN_WORDS + RUN_WINDOW - 1 words that two documents share hold one, and a longer
-shared passage is covered by them but for fewer than RUN_WINDOW words at either end. Of each component of
+fill a line, so runs of PASSAGE_WORDS consecutive words are matched exactly, too, whatever the line breaks in
+them. Of every WINDOW runs in a row the one of least hash is indexed (winnowing), so equal passages have
+equal indexed runs: any PASSAGE_WORDS + WINDOW - 1 words that two documents share hold one. Of each component of
 lines the document of least id keeps its text, and all others lose theirs. Runs are settled on what is left
 then: those that touch a lost line neither keep nor lose, and of each other run the document of least id keeps it.
+A lost run is carried on to either side, word by word, as far as the keeper's words are the same.
+
+What has fewer than PASSAGE_WORDS words in a row is no passage: licence lines, headings, greetings and other
+short lines that unrelated documents share stay in all of them.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.buckets import crowded, link, may_reach, shared_cores
-from kerbline.llm.common import broadcast_if_small, saved
-from kerbline.llm.components import components
+from kerbline.llm.common import broadcast_if_small, saved, tidy
 from kerbline.llm.shingles import SIZE, mix, shingle_hashes, word_hashes
+from kerbline.operators.components import components
 
 #: Bands of ROWS MinHash values each: at a similarity of 0.8 a pair collides with probability 1 - (1 - 0.8^4)^8 = 0.986, at 0.9 with 0.9999.
 BANDS, ROWS = 8, 4
-LINE_WORDS = 10  # lines with fewer words are no paragraphs
-RUN_WORDS = 12  # words of a run
-RUN_WINDOW = 12  # of so many runs in a row one is indexed; at most RUN_WORDS, so that indexed runs leave no gap
+PASSAGE_WORDS = 24  # words of a run, and the least of a paragraph
+PART_WORDS = 8  # a divisor of PASSAGE_WORDS
+WINDOW = 24  # of so many runs in a row one is indexed; at most PASSAGE_WORDS, so that indexed runs leave no gap
 _RNG = np.random.default_rng(5)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -38,6 +41,14 @@ _STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def slide(a: np.ndarray, width: int, op) -> np.ndarray:
+    """op (np.minimum or np.maximum) over every `width` elements in a row, by doubling."""
+    k = 1
+    while 2 * k <= width:
+        a, k = op(a[:-k], a[k:]), 2 * k
+    return op(a[: len(a) - (width - k)], a[width - k :])
+
+
 class Cut:
     """A text's words, and its lines that hold any by first word and number of words."""
 
@@ -54,22 +65,28 @@ class Cut:
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """First words and digests of the indexed runs; the first and the last run of a text always are."""
-        if len(self.h) < RUN_WORDS:
+        if len(self.h) < PASSAGE_WORDS:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        digests = shingle_hashes(self.h, RUN_WORDS)
-        last = len(digests) - 1
-        chosen = np.zeros(last + 1, bool)
-        chosen[[0, last]] = True
-        if last + 1 >= RUN_WINDOW:
-            least = np.lib.stride_tricks.sliding_window_view(digests[::-1], RUN_WINDOW).argmin(axis=1)
-            chosen[last - np.arange(len(least)) - least] = True
+        parts = shingle_hashes(self.h, PART_WORDS)  # a run's hash is made of those of its equal parts
+        n = len(self.h) - PASSAGE_WORDS + 1
+        total = np.full(n, np.uint64(PASSAGE_WORDS))
+        for i, factor in enumerate(_MUL[: PASSAGE_WORDS // PART_WORDS]):
+            total = total + parts[i * PART_WORDS : i * PART_WORDS + n] * factor
+        digests = mix(total)
+        chosen = np.zeros(n, bool)
+        if n >= WINDOW:
+            # a run is some window's least where the greatest least of the windows around it is its own
+            least = np.zeros(n + WINDOW - 1, np.uint64)
+            least[WINDOW - 1 : n] = slide(digests, WINDOW, np.minimum)
+            chosen = slide(least, WINDOW, np.maximum) == digests
+        chosen[[0, -1]] = True
         at = np.flatnonzero(chosen)
         return at, digests[at]
 
     def lines_of_runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first and the last line that runs with these first words touch."""
         of_word = np.repeat(np.arange(len(self.line_size)), self.line_size)
-        return of_word[at], of_word[at + RUN_WORDS - 1]
+        return of_word[at], of_word[at + PASSAGE_WORDS - 1]
 
     @cached_property
     def shingles(self) -> np.ndarray:
@@ -81,8 +98,23 @@ class Cut:
         a = self.line_start[i]
         return np.unique(self.shingles[a : a + self.line_size[i] - SIZE + 1])
 
+    def kept(self, lines) -> np.ndarray:
+        """Which words lie in none of these lines."""
+        out = np.ones(int(self.line_size.sum()), bool)
+        for i in lines:
+            out[self.line_start[i] : self.line_start[i] + self.line_size[i]] = False
+        return out
+
+    def beside(self, at: int, side: int, kept: np.ndarray) -> np.ndarray:
+        """Hashes of the words before a run (side 0) or behind it (side 1), up to one that isn't kept; WINDOW - 1 at most."""
+        lo, hi = (at + PASSAGE_WORDS, at + PASSAGE_WORDS + WINDOW - 1) if side else (max(0, at - WINDOW + 1), at)
+        near, own = self.h[lo:hi].view(np.int64), np.flatnonzero(~kept[lo:hi])
+        if not len(own):
+            return near
+        return near[: own[0]] if side else near[own[-1] + 1 :]
+
     def paragraphs(self) -> np.ndarray:
-        return np.nonzero(self.line_size >= LINE_WORDS)[0]
+        return np.nonzero(self.line_size >= PASSAGE_WORDS)[0]
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -102,39 +134,52 @@ def all_bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, idx, n, line, digest, keys), stored: runs (kind r, idx the first word, line the first line, n lines more) and paragraphs (kind p, idx the line, n shingles, band keys)."""
+    """(id, kind, idx, n, digest, keys, at, line, more), stored.
+
+    A row of kind r holds a document's indexed runs: digests (keys), first words (at), the first lines that they
+    touch (line) and the numbers of further lines (more). A row of kind p is a paragraph: its line (idx), its
+    shingles' number (n) and digest, and its band keys.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    columns = ["id", "kind", "idx", "n", "digest", "keys", "at", "line", "more"]
+
+    def rows_of(found):
+        for key, cut in found:
+            at, digests = cut.runs()
+            if len(at):
+                first, last = cut.lines_of_runs(at)
+                yield key, "r", 0, 0, 0, digests.view(np.int64), at, first, last - first
+        lines = [(key, int(p), cut.line(p)) for key, cut in found for p in cut.paragraphs()]
+        if lines:
+            keys = all_bands([s for *_, s in lines]).view(np.int64)
+            for (key, p, s), own in zip(lines, keys):
+                yield key, "p", p, len(s), int(mix(np.add.reduce(mix(s), keepdims=True) + np.uint64(len(s))).view(np.int64)[0]), own, None, None, None
 
     def work(frames):
         for frame in frames:
             for i in range(0, len(frame), 200):
-                found = [(key, Cut(text)) for key, text in zip(frame["id"].iloc[i : i + 200], frame["text"].iloc[i : i + 200]) if text]
-                if not found:
-                    continue
-                runs = [cut.runs() for _, cut in found]
-                lines = [[(int(p), cut.line(p)) for p in cut.paragraphs()] for _, cut in found]
-                flat = [x for own in lines for x in own]
-                keys = np.array([key for key, _ in found], dtype=frame["id"].dtype)
-                if any(len(at) for at, _ in runs):
-                    first, last = (np.concatenate(x) for x in zip(*(cut.lines_of_runs(at) for (_, cut), (at, _) in zip(found, runs))))
-                    at, digests = (np.concatenate(x) for x in zip(*runs))
-                    yield pd.DataFrame({"id": np.repeat(keys, [len(at) for at, _ in runs]), "kind": "r", "idx": at, "n": last - first, "line": first, "digest": digests.view(np.int64), "keys": None})
-                if flat:
-                    digests = mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s)) for _, s in flat], np.uint64)).view(np.int64)
-                    yield pd.DataFrame({"id": np.repeat(keys, [len(x) for x in lines]), "kind": "p", "idx": [p for p, _ in flat], "n": [len(s) for _, s in flat], "line": [p for p, _ in flat], "digest": digests, "keys": list(all_bands([s for _, s in flat]).view(np.int64))})
+                part = frame.iloc[i : i + 200]
+                found = [(key, Cut(text)) for key, text in zip(part["id"], part["text"]) if text]
+                out = list(rows_of(found))
+                if out:
+                    yield pd.DataFrame(out, columns=columns)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return saved(rows.mapInPandas(work, f"id {kind}, kind string, idx int, n int, line int, digest long, keys array<long>"), "parts")
+    ddl = f"id {kind}, kind string, idx int, n int, digest long, keys array<long>, at array<int>, line array<int>, more array<int>"
+    return saved(rows.mapInPandas(tidy(work), ddl), "parts")
 
 
 def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(digest, component) of paragraphs that others are similar to; a paragraph's digest is that of its shingle set."""
-    kind = docs.schema[id_col].dataType.simpleString()
     # equal sets are one node; they need no banding
-    nodes = saved(lines.groupBy("digest").agg(F.min(F.struct("id", "idx")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "lines")
-    rows = nodes.select(F.explode("keys").alias("bucket"), F.col("digest").alias("node"), F.col("n").cast("long").alias("size"), (-F.col("n")).alias("rank"))
-    buckets = crowded(rows)
+    nodes = lines.groupBy("digest").agg(F.min(F.struct("id", "idx")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = saved(nodes, "lines")
+    rows = nodes.select(
+        F.explode("keys").alias("bucket"), F.col("digest").alias("node"), F.col("n").cast("long").alias("size"),
+        (-F.col("n")).cast("double").alias("rank"), F.lit(0).alias("pos"),
+    )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made: list[DataFrame] = []
 
     def sets(frames):
         for frame in frames:
@@ -145,13 +190,22 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
             yield pd.DataFrame(out, columns=["digest", "s"])
 
     def sets_of(digests: DataFrame) -> DataFrame:
-        want = nodes.join(digests.distinct(), "digest").groupBy(F.col("at.id").alias("id")).agg(F.collect_list(F.struct(F.col("at.idx").alias("idx"), "digest")).alias("want"))
-        want = saved(want, "wanted")
-        own = texts.join(broadcast_if_small(want.select("id")), "id", "left_semi").join(want, "id").mapInPandas(sets, "digest long, s array<long>")
-        return own.dropDuplicates(["digest"])
+        """(digest, s); each set is made once, and stored."""
+        digests = digests.distinct()
+        for known in made:
+            digests = digests.join(known.select("digest"), "digest", "left_anti")
+        place = F.struct(F.col("at.idx").alias("idx"), "digest")
+        want = saved(nodes.join(digests, "digest").groupBy(F.col("at.id").alias("id")).agg(F.collect_list(place).alias("want")), "wanted")
+        if not made or not want.isEmpty():
+            own = texts.join(broadcast_if_small(want.select("id")), "id", "left_semi").join(want, "id")
+            made.append(saved(own.mapInPandas(tidy(sets), "digest long, s array<long>").dropDuplicates(["digest"]), "sets"))
+        out = made[0]
+        for more in made[1:]:
+            out = out.unionByName(more)
+        return out
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = saved(sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b"))), "sets")
+        own = sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")))
         met = pairs.join(own.select(F.col("digest").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("digest").alias("b"), F.col("s").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
@@ -159,41 +213,100 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
     def cores(open_: DataFrame) -> DataFrame:
         return shared_cores(sets_of(open_.select(F.col("node").alias("digest"))).withColumnRenamed("digest", "id"), open_)
 
-    return components(link(buckets, may_reach(percent), verify, cores)).withColumnRenamed("id", "digest")
+    return components(link(crowded(rows), may_reach(percent), verify, cores), "a", "b").withColumnRenamed("id", "digest")
 
 
-def removals(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, runs array<int>, lines array<int>) of the documents that lose text, stored: first words of runs, numbers of lines."""
-    own = parts(docs, id_col, text_col)
+def _lost_lines(docs: DataFrame, own: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, idx) of the paragraphs that go: all of a component but those of its least id; stored."""
     lines = own.where("kind = 'p'").select("id", "idx", "n", "digest", "keys")
     comp = _similar_lines(docs, lines, percent, id_col, text_col)
     named = lines.select("id", "idx", "digest").join(comp, "digest", "left").withColumn("of", F.coalesce("component", "digest"))
     first = named.groupBy("of").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
-    gone = named.join(first.select("of", "keeper"), "of").where("id <> keeper").select("id", "idx", F.lit("p").alias("kind"))
-    gone = saved(gone, "gone")
-    runs = own.where("kind = 'r'").select("id", "idx", "digest", "line", "n")
+    return saved(named.join(first.select("of", "keeper"), "of").where("id <> keeper").select("id", "idx"), "gone")
+
+
+def _lost_runs(own: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, idx, keeper, at) of the runs that go, by first word, and where their keeper has them; stored."""
+    runs = own.where("kind = 'r'").select("id", F.inline(F.arrays_zip("at", "keys", "line", "more")).alias("idx", "digest", "line", "n"))
     shared = runs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
     runs = saved(runs.join(shared.select("digest"), "digest", "left_semi"), "shared")
     touched = runs.select("id", F.col("idx").alias("at"), F.explode(F.expr("sequence(line, line + n)")).alias("idx"))
-    cut = touched.join(gone.select("id", "idx"), ["id", "idx"], "left_semi").select("id", F.col("at").alias("idx")).distinct()
+    cut = touched.join(gone, ["id", "idx"], "left_semi").select("id", F.col("at").alias("idx")).distinct()
     runs = saved(runs.join(cut, ["id", "idx"], "left_anti").select("id", "idx", "digest"), "left")
-    keepers = runs.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
-    lost = runs.join(keepers.select("digest", "keeper"), "digest").where("id <> keeper").select("id", "idx", F.lit("r").alias("kind"))
-    each = lost.unionByName(gone).groupBy("id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "r", F.col("idx")))).alias("runs"), F.array_sort(F.collect_set(F.when(F.col("kind") == "p", F.col("idx")))).alias("lines")
-    )
+    keepers = runs.groupBy("digest").agg(F.min(F.struct("id", "idx")).alias("k"), F.max("id").alias("last")).where("k.id < last")
+    lost = runs.join(keepers.select("digest", "k"), "digest").where("id <> k.id")
+    return saved(lost.select("id", "idx", F.col("k.id").alias("keeper"), F.col("k.idx").alias("at")), "lost")
+
+
+def _edges(docs: DataFrame, lost: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, side, h): for the first and last of a document's runs that one keeper has in a row, the keeper's words beside them.
+
+    side 0: at is the first word of the stretch's first run, h the words before; side 1: the last run's, and the
+    words behind. Words of lines that the keeper loses end h. WINDOW - 1 words are all that winnowing can leave.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = lost.groupBy("id", "keeper", (F.col("idx") - F.col("at")).alias("shift")).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("side")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("side")))
+    rows = saved(rows.select("id", "keeper", "shift", F.inline(ends).alias("at", "side")), "ends")
+    places = rows.select("keeper", F.struct((F.col("at") - F.col("shift")).alias("at"), "side").alias("x")).distinct()
+    want = places.groupBy(F.col("keeper").alias("id")).agg(F.collect_list("x").alias("want"))
+    want = want.join(gone.groupBy("id").agg(F.collect_set("idx").alias("gone")), "id", "left")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])
+
+    def work(frames):
+        for frame in frames:
+            out = []
+            for key, text, places, gone in zip(frame["id"], frame["text"], frame["want"], frame["gone"]):
+                cut = Cut(text)
+                kept = cut.kept([] if gone is None else gone)
+                for x in places:
+                    out.append((key, x["at"], x["side"], cut.beside(x["at"], x["side"], kept)))
+            yield pd.DataFrame(out, columns=["keeper", "k", "side", "h"])
+
+    want = saved(want, "wanted")
+    own = texts.join(broadcast_if_small(want.select("id")), "id", "left_semi").join(want, "id")
+    beside = saved(own.mapInPandas(tidy(work), f"keeper {kind}, k int, side int, h array<long>").where("size(h) > 0"), "beside")
+    beside = broadcast_if_small(beside, beside.count() * WINDOW)
+    rows = rows.withColumn("k", F.col("at") - F.col("shift"))
+    return rows.join(beside, ["keeper", "k", "side"]).select("id", "at", "side", "h")
+
+
+def removals(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, runs array<int>, lines array<int>, edges array<struct<at, side, h>>) of the documents that lose text, stored.
+
+    First words of runs, numbers of lines, and what _edges() gives.
+    """
+    own = parts(docs, id_col, text_col)
+    gone = _lost_lines(docs, own, percent, id_col, text_col)
+    lost = _lost_runs(own, gone)
+    edges = _edges(docs, lost, gone, id_col, text_col)
+    nothing = F.lit(None)
+    edge = F.struct("at", "side", "h")
+    rows = lost.select("id", F.col("idx").alias("run"), nothing.cast("int").alias("line"), nothing.cast("struct<at:int,side:int,h:array<bigint>>").alias("edge"))
+    rows = rows.unionByName(gone.select("id", F.col("idx").alias("line")), allowMissingColumns=True)
+    rows = rows.unionByName(edges.select("id", edge.alias("edge")), allowMissingColumns=True)
+    each = rows.groupBy("id").agg(F.collect_set("run").alias("runs"), F.collect_set("line").alias("lines"), F.collect_list("edge").alias("edges"))
     return saved(each, "removals")
 
 
-def spans_to_remove(text: str, runs, lines) -> list[tuple[int, int]]:
-    """[start, end) character spans of lines and of runs of RUN_WORDS words, joined where they meet."""
+def spans_to_remove(text: str, runs, lines, edges=()) -> list[tuple[int, int]]:
+    """[start, end) character spans of lines and of runs of PASSAGE_WORDS words, carried on by edges and joined where they meet."""
     cut = Cut(text)
-    n = int(cut.line_size.sum())
-    gone = np.zeros(n, bool)
+    gone = ~cut.kept(lines)
     for a in runs:
-        gone[a : a + RUN_WORDS] = True
-    for i in lines:
-        gone[cut.line_start[i] : cut.line_start[i] + cut.line_size[i]] = True
+        gone[a : a + PASSAGE_WORDS] = True
+    own = cut.h.view(np.int64)
+    for e in edges:
+        if e["side"]:
+            a = e["at"] + PASSAGE_WORDS
+            mine, theirs = own[a : a + len(e["h"])], np.asarray(e["h"])
+            same = _leading(mine, theirs[: len(mine)])
+            gone[a : a + same] = True
+        else:
+            a = e["at"]
+            mine, theirs = own[max(0, a - len(e["h"])) : a][::-1], np.asarray(e["h"])[::-1]
+            same = _leading(mine, theirs[: len(mine)])
+            gone[a - same : a] = True
     if not gone.any():
         return []
     where = [m.span() for m in _WORD.finditer(text)]
@@ -201,6 +314,12 @@ def spans_to_remove(text: str, runs, lines) -> list[tuple[int, int]]:
     return [(where[a][0], where[b - 1][1]) for a, b in zip(edges[::2], edges[1::2])]
 
 
+def _leading(x: np.ndarray, y: np.ndarray) -> int:
+    """How many first elements of two arrays of one length are equal."""
+    differs = np.flatnonzero(x != y)
+    return int(differs[0]) if len(differs) else len(x)
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans; white space behind a cut goes with it unless that joins two lines' words."""
     out, last = [], 0
@@ -218,33 +337,31 @@ def dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col:
     """docs with repeated passages cut from the text, and removed_spans array<struct<start, end>> of the old text.
 
     All columns and rows stay; texts without a repeated passage stay as they are to the letter. Of texts
-    that are whole copies all but that of least id become empty. Repeats within one id are not removed, so
-    rows that repeat an id keep their text alike. Null ids, null and empty texts are left alone. A column
-    named removed_spans would be replaced.
+    that are whole copies, of PASSAGE_WORDS words at least, all but that of least id become empty. Repeats
+    within one id are not removed, so rows that repeat an id keep their text alike. Null ids, null and empty
+    texts are left alone. A column named removed_spans would be replaced.
     """
     docs = docs.drop("removed_spans")
     lost = removals(docs, percent, id_col, text_col)
     spans = "array<struct<start:int,end:int>>"
-    ids = broadcast_if_small(lost.select(F.col("id").alias("_kl_id")))
-    match = F.col(id_col) == F.col("_kl_id")
+    mark = "_lost"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    lost = lost.select(F.col("id").alias(f"{mark}_id"), F.struct("runs", "lines", "edges").alias(mark))
+    ids = broadcast_if_small(lost.select(f"{mark}_id"))
+    match = F.col(id_col) == F.col(f"{mark}_id")
     rest = docs.join(ids, match, "left_anti").withColumn("removed_spans", F.array().cast(spans))
-    hit = docs.join(ids, match, "left_semi").join(lost.withColumnsRenamed({"id": "_kl_id", "runs": "_kl_r", "lines": "_kl_p"}), match).drop("_kl_id")
 
-    def work(frames):
-        for frame in frames:
-            texts, cuts = [], []
-            for text, r, p in zip(frame[text_col], frame["_kl_r"], frame["_kl_p"]):
-                found = spans_to_remove(text, r, p) if text else []
-                texts.append(without(text, found) if found else text)
-                cuts.append([{"start": a, "end": z} for a, z in found])
-            out = frame.drop(columns=["_kl_r", "_kl_p"])
-            out[text_col] = texts
-            out["removed_spans"] = cuts
-            yield out
-
-    done = hit.mapInPandas(work, _ddl(docs) + f", removed_spans {spans}")
-    return rest.unionByName(done)
-
-
-def _ddl(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    @F.pandas_udf(f"text string, spans {spans}")
+    def cut(text: pd.Series, what: pd.DataFrame) -> pd.DataFrame:
+        texts, cuts = [], []
+        for old, runs, lines, edges in zip(text, what["runs"], what["lines"], what["edges"]):
+            found = spans_to_remove(old, runs, lines, edges) if old else []
+            texts.append(without(old, found) if found else old)
+            cuts.append([{"start": a, "end": z} for a, z in found])
+        return pd.DataFrame({"text": texts, "spans": cuts})
+
+    # only the text passes through Python; all other columns stay as they are
+    hit = docs.join(ids, match, "left_semi").join(lost, match).withColumn(mark, cut(F.col(text_col), F.col(mark)))
+    columns = [F.col(f"{mark}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return rest.unionByName(hit.select(*columns, F.col(f"{mark}.spans").alias("removed_spans")))

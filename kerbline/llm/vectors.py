@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import saved
-from kerbline.llm.components import components
+from kerbline.llm.common import saved, tidy
+from kerbline.operators.components import components
 
 
 def _unit(rows) -> np.ndarray:
@@ -44,8 +44,8 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: s
     return member, saved(reps.select("rep", "label", "v", "copies"), "distinct")
 
 
-#: Rows of a sorted part, which one task compares in memory.
-PART_ROWS = 40_000
+#: Numbers of a sorted part, which one task compares in memory.
+PART_NUMBERS = 2_500_000
 
 
 def effort(n: int, threshold: float, passes: int, planes: int, window: int, miss: float) -> tuple[int, int]:
@@ -69,7 +69,7 @@ def _passes(reps: DataFrame, threshold: float, passes: int, planes: int, window:
     kind = reps.schema["rep"].dataType.simpleString()
     label = reps.schema["label"].dataType.simpleString()
     vector = reps.schema["v"].dataType.simpleString()
-    parts = max(1, -(-reps.count() * passes // PART_ROWS))
+    parts = max(1, -(-(reps.agg(F.sum(F.size("v"))).first()[0] or 0) * passes // PART_NUMBERS))
 
     def keyed(frames):
         made: dict[int, np.ndarray] = {}
@@ -84,7 +84,7 @@ def _passes(reps: DataFrame, threshold: float, passes: int, planes: int, window:
                     bits = np.packbits(x @ made[size][:, p * planes : (p + 1) * planes] > 0, axis=1)
                     yield pd.DataFrame({"pass": p, "rep": frame["rep"][at], "label": frame["label"][at], "size": int(size), "key": [b.tobytes() for b in bits], "v": frame["v"][at]})
 
-    keys = reps.select("rep", "label", "v").mapInPandas(keyed, f"pass int, rep {kind}, label {label}, size int, key binary, v {vector}")
+    keys = reps.select("rep", "label", "v").mapInPandas(tidy(keyed), f"pass int, rep {kind}, label {label}, size int, key binary, v {vector}")
     order = ["pass", "label", "size", "key", "rep"]
     spread = saved(keys.select(*order, "v").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "sorted")
     heads = spread.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("row") <= window)
@@ -92,12 +92,10 @@ def _passes(reps: DataFrame, threshold: float, passes: int, planes: int, window:
     counts = spread.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each partition
     needs = []
     for i, r in enumerate(counts):
-        left = window
-        for later in counts[i + 1 :]:
-            if left <= 0:
-                break
-            needs.append((r["part"], later["part"], left))
-            left -= later["n"]
+        left, k = window, i + 1
+        while left > 0 and k < len(counts):
+            needs.append((r["part"], counts[k]["part"], left))
+            left, k = left - counts[k]["n"], k + 1
     spark = reps.sparkSession
     needs = spark.createDataFrame(needs, "part int, later int, most int")
     tails = heads.withColumnRenamed("part", "later").join(F.broadcast(needs), "later").where("row <= most").drop("later", "row", "most").withColumn("own", F.lit(False))
@@ -124,7 +122,8 @@ def _passes(reps: DataFrame, threshold: float, passes: int, planes: int, window:
 def _within(reps: DataFrame, comp: DataFrame, threshold: float, block: int) -> DataFrame:
     """(rep, n_links): copies of other vectors linked to each vector of a component; every two blocks meet in a task of their own.
 
-    Work grows with the square of a component's size, as its number of links does; pairs are only counted.
+    Work grows with the square of a component's size, as its number of links does; pairs are only counted, so
+    many rows at a time. Each vector of a component of m goes to m / block tasks.
     """
     kind = reps.schema["rep"].dataType.simpleString()
     sized = comp.groupBy("component").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / block))
@@ -139,20 +138,24 @@ def _within(reps: DataFrame, comp: DataFrame, threshold: float, block: int) -> D
         for _, same in frame.groupby(sizes):
             first = same["block"].to_numpy() == frame["i"].iloc[0]
             x, n, ids = _unit(same["v"]), same["copies"].to_numpy(float), same["rep"].to_numpy()
-            if frame["i"].iloc[0] == frame["j"].iloc[0]:
-                hit = x @ x.T >= threshold
-                np.fill_diagonal(hit, False)
-                out.append(pd.DataFrame({"rep": ids, "n": (hit @ n).astype(np.int64)}))
-            elif first.any() and not first.all():
-                hit = x[first] @ x[~first].T >= threshold
-                out.append(pd.DataFrame({"rep": ids[first], "n": (hit @ n[~first]).astype(np.int64)}))
-                out.append(pd.DataFrame({"rep": ids[~first], "n": (hit.T @ n[first]).astype(np.int64)}))
+            alone = frame["i"].iloc[0] == frame["j"].iloc[0]
+            left, right = (np.arange(len(x)),) * 2 if alone else (np.flatnonzero(first), np.flatnonzero(~first))
+            ahead, back = np.zeros(len(left)), np.zeros(len(right))
+            for at in range(0, len(left) if len(right) else 0, 256):
+                hit = x[left[at : at + 256]] @ x[right].T >= threshold
+                if alone:
+                    hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+                ahead[at : at + 256] = hit @ n[right]
+                back += n[left[at : at + 256]] @ hit
+            out.append(pd.DataFrame({"rep": ids[left], "n": ahead.astype(np.int64)}))
+            if not alone:
+                out.append(pd.DataFrame({"rep": ids[right], "n": back.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "n": []})
 
     return rows.groupBy("component", "i", "j").applyInPandas(count, f"rep {kind}, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 8, planes: int = 24, window: int = 12, miss: float = 0.005, block: int = 1000, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 8, planes: int = 24, window: int = 12, miss: float = 0.005, block: int = 4096, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: (id, n_links, component_id, kept).
 
     n_links counts other ids linked directly, component_id is the least id reachable, kept says whether
@@ -165,7 +168,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 8
     member, reps = distinct_vectors(vectors, id_col, vec_col, label_col)
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     passes, planes = effort(most, threshold, passes, planes, window, miss)
-    comp = saved(components(_passes(reps, threshold, passes, planes, window, seed)), "components")
+    comp = saved(components(_passes(reps, threshold, passes, planes, window, seed), "a", "b"), "components")
     links = saved(_within(reps, comp, threshold, block), "links")
     per = reps.select("rep", "copies").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
     per = per.select("rep", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

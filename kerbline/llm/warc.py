@@ -20,9 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import saved, scratch_path
+from kerbline.llm.common import saved, scratch_path, tidy
 
 _CHUNK = 1 << 20
+_BATCH = 8 << 20  # bytes of payload that a batch of read records holds, or one record
 
 
 class Store:
@@ -66,15 +67,20 @@ def record_bytes(page_id, url, html: bytes | None, length: int, sha1: bytes, ref
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     body = http + (b"" if refers_to is not None else html)
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id, sha1)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {_one_line(url)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to, sha1)}"]
     head += [f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
 
+def _urn(page_id, sha1: bytes) -> str:
+    """A record's id, by page and payload: a revisit has its response's payload, so it can name it."""
+    return f"<urn:page:{page_id}:{sha1.hex()}>"
+
+
 def _one_line(url) -> str:
     """A url for a header line: null is empty, line breaks are percent-coded."""
     return ("" if url is None else str(url)).replace("\r", "%0D").replace("\n", "%0A")
@@ -126,7 +132,7 @@ def inflate(f) -> Iterator[bytes]:
 
 
 def decide(pages: DataFrame, least: int = 1000, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, refers_to): the rows that revisit another; of equal payloads of at least `least` bytes the largest id responds.
+    """(id, digest, refers_to): the rows that revisit another; of equal payloads of at least `least` bytes the largest id responds.
 
     Counts are pre-aggregated by digest; only digests that occur more than once meet their rows again.
     """
@@ -134,22 +140,22 @@ def decide(pages: DataFrame, least: int = 1000, id_col: str = "page_id", html_co
     keys = pages.select(F.col(id_col).alias("id"), F.octet_length(payload).alias("n"), F.sha1(payload).alias("digest")).where((F.col("n") >= least) & F.col("id").isNotNull())
     keys = saved(keys.select("id", "digest"), "digests")
     shared = keys.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("low")).where("low < refers_to")
-    return keys.join(shared.select("digest", "refers_to"), "digest").where("id < refers_to").select("id", "refers_to").distinct()
+    return keys.join(shared.select("digest", "refers_to"), "digest").where("id < refers_to").select("id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, root: str, least: int = 1000, date: str = "2020-01-01T00:00:00Z", level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record per row into whole-file gzip streams below root, one file a task; returns their names (name, records).
 
     Null html is an empty payload, null urls an empty target. Rows without an id are written with the
-    id None and never revisit. Repeated ids are records of their own, of one type. Extra columns are ignored.
+    id None and never revisit. Rows that repeat an id are records of their own, each judged by its payload;
+    those that repeat id and payload have one record id, too. Extra columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.join(decide(pages, least, id_col, html_col), "id", "left")
     payload = F.col("html").cast("binary")
-    revisits = F.col("refers_to").isNotNull() & (F.octet_length(payload) >= least)
+    rows = rows.withColumn("digest", F.sha1(payload)).join(decide(pages, least, id_col, html_col), ["id", "digest"], "left")
     rows = rows.select(
-        F.col("id").cast("string").alias("id"), "url", F.when(~revisits, payload).alias("html"), F.octet_length(payload).cast("long").alias("n"),
-        F.unhex(F.sha1(payload)).alias("sha1"), F.when(revisits, F.col("refers_to").cast("string")).alias("refers_to"),
+        F.col("id").cast("string").alias("id"), "url", F.when(F.col("refers_to").isNull(), payload).alias("html"), F.octet_length(payload).cast("long").alias("n"),
+        F.unhex("digest").alias("sha1"), F.col("refers_to").cast("string").alias("refers_to"),
     )
 
     def work(frames):
@@ -165,7 +171,7 @@ def write_archives(pages: DataFrame, root: str, least: int = 1000, date: str = "
             f.write(zipped.flush())
         yield pd.DataFrame({"name": [name], "records": [count]})
 
-    return saved(rows.mapInPandas(work, "name string, records long"), "archives")
+    return saved(rows.mapInPandas(tidy(work), "name string, records long"), "archives")
 
 
 def normalise(archives: DataFrame, root: str, to: str, level: int = 6, keep: bool = True) -> DataFrame:
@@ -191,8 +197,7 @@ def normalise(archives: DataFrame, root: str, to: str, level: int = 6, keep: boo
                         offset, count = offset + len(member), count + 1
                 yield pd.DataFrame({"name": [name], "records": [count]})
 
-    spread = archives.repartition(max(1, archives.count()), "name")
-    done = saved(spread.select("name").mapInPandas(work, "name string, records long"), "normal")
+    done = saved(_spread(archives).mapInPandas(tidy(work), "name string, records long"), "normal")
     if not keep:
 
         def drop(frames):
@@ -206,9 +211,16 @@ def normalise(archives: DataFrame, root: str, to: str, level: int = 6, keep: boo
     return done
 
 
-def read_records(archives: DataFrame, root: str) -> DataFrame:
+def _spread(archives: DataFrame) -> DataFrame:
+    """(name), one archive a partition: names dealt in turn from a single short list, not by hash."""
+    return archives.select("name").coalesce(1).repartition(max(1, archives.count()))
+
+
+def read_records(archives: DataFrame, root: str, payloads: bool = True) -> DataFrame:
     """(name, offset, id, type, url, payload_bytes, payload_digest, refers_to, payload) of normalised archives.
 
+    payloads: whether payloads are returned, else they are null.
+
     Each record is fetched by its sidecar entry and inflated alone. A response's payload is hashed and
     held against its header (ValueError if they differ); a revisit's length and digest are its headers'.
     """
@@ -219,7 +231,7 @@ def read_records(archives: DataFrame, root: str) -> DataFrame:
         store = Store(root)
         for frame in frames:
             for name in frame["name"]:
-                rows = []
+                rows, held = [], 0
                 with store.read(name + ".idx") as index, store.read(name) as f:
                     for line in index.read().splitlines():
                         at = json.loads(line)
@@ -231,22 +243,24 @@ def read_records(archives: DataFrame, root: str) -> DataFrame:
                         if headers["warc-type"] == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
                             raise ValueError(f"{name} at {at['offset']}: the payload differs from its header")
                         refers = headers.get("warc-refers-to")
-                        rows.append((name, at["offset"], _id(headers["warc-record-id"]), headers["warc-type"], headers["warc-target-uri"], length, digest, _id(refers) if refers else None, payload))
-                        if len(rows) == 500:
+                        names = (_id(headers["warc-record-id"]), headers["warc-type"], headers["warc-target-uri"])
+                        rows.append((name, at["offset"], *names, length, digest, _id(refers) if refers else None, payload if payloads else None))
+                        held += len(payload)
+                        if len(rows) == 2000 or held >= _BATCH:
                             yield pd.DataFrame(rows, columns=columns)
-                            rows = []
+                            rows, held = [], 0
                 yield pd.DataFrame(rows, columns=columns)
 
     schema = "name string, offset long, id string, type string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
     columns = [x.split()[0] for x in schema.split(", ")]
-    return archives.select("name").repartition(max(1, archives.count()), "name").mapInPandas(work, schema)
+    return _spread(archives).mapInPandas(tidy(work), schema)
 
 
 def _id(urn: str) -> str:
-    return urn.removeprefix("<urn:page:").removesuffix(">")
+    return urn.removeprefix("<urn:page:").rpartition(":")[0]
 
 
-def round_trip(pages: DataFrame, least: int = 1000, keep: bool = False) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 1000, keep: bool = False, payloads: bool = True) -> DataFrame:
     """Pages as read back from normalised archives in the shared scratch folder; see read_records()."""
     whole, single = scratch_path(pages.sparkSession, "warc"), scratch_path(pages.sparkSession, "warc-members")
-    return read_records(normalise(write_archives(pages, whole, least), whole, single, keep=keep), single)
+    return read_records(normalise(write_archives(pages, whole, least), whole, single, keep=keep), single, payloads)
