@@ -1,8 +1,9 @@
 """Quality classifier: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
 Gaussian-kernel features (Rahimi & Recht 2007) of a few dozen statistics; the normal equations are summed
-by partition and then in a tree, over every labelled row that isn't held out; scores are calibrated by
-pooling adjacent violators over a fixed grid of bins.
+by partition and then in a tree, over every labelled row that isn't held out, in folds. The folds choose the
+ridge, and the scores that each row gets from the other folds' equations calibrate the final ones by pooling
+adjacent violators over a fixed grid of bins: rows that a model was fitted on would flatter it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import held_out, saved
+from kerbline.llm.common import discard, held_out, saved, tidy
 
 STATISTICS = (
     "log_bytes", "log_words", "log_lines", "upper", "lower", "digit", "space", "line_break", "end_mark", "comma", "shout", "pipe", "symbol", "other_mark",
@@ -61,7 +62,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # ids pass Python as text, where a null among whole numbers would make them floats
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return saved(rows.mapInPandas(work, "id string, x array<double>").withColumn("id", F.col("id").cast(kind)), "statistics")
+    return saved(rows.mapInPandas(tidy(work), "id string, x array<double>").withColumn("id", F.col("id").cast(kind)), "statistics")
 
 
 @dataclass
@@ -89,23 +90,32 @@ class Model:
         return np.clip(0.999 * self.levels[self.bins(raw)] + 0.001 * np.clip(raw, 0, 1), 0, 1)
 
 
-def _summed(rows: DataFrame, of, width: int, groups: int = 16) -> np.ndarray:
-    """Sum over all rows of of(x, y), an array of `width`: by partition, then by group, then `groups` arrays on the driver."""
+def _summed(rows: DataFrame, of, fan: int = 16) -> dict[int, np.ndarray]:
+    """By fold, the sum over its rows of of(x, y, fold), an array: by partition, then in a tree of `fan` arrays a task."""
 
     def part(frames):
-        total = np.zeros(width)
-        for frame in frames:
-            total += of(np.stack(frame["x"].to_numpy()), frame["y"].to_numpy(float)) if len(frame) else 0
         from pyspark import TaskContext
 
-        yield pd.DataFrame({"g": [TaskContext.get().partitionId() % groups], "v": [total.tobytes()]})
+        total: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for fold, own in frame.groupby("fold"):
+                total[fold] = total.get(fold, 0) + of(np.stack(own["x"].to_numpy()), own["y"].to_numpy(float), int(fold))
+        g = TaskContext.get().partitionId()
+        yield pd.DataFrame([(int(fold), g, v.tobytes()) for fold, v in total.items()], columns=["fold", "g", "v"])
 
     def add(frame):
         total = sum(np.frombuffer(v) for v in frame["v"])
-        return pd.DataFrame({"v": [total.tobytes()]})
+        return pd.DataFrame({"fold": frame["fold"].iloc[:1], "g": frame["g"].iloc[:1], "v": [total.tobytes()]})
 
-    parts = rows.mapInPandas(part, "g int, v binary").groupBy("g").applyInPandas(add, "v binary").collect()
-    return sum((np.frombuffer(r["v"]) for r in parts), np.zeros(width))
+    kind = "fold int, g int, v binary"
+    parts = saved(rows.mapInPandas(tidy(part), kind), "sums")
+    most = parts.agg(F.max("g")).first()[0] or 0
+    while most:
+        most //= fan
+        after = saved(parts.withColumn("g", F.floor(F.col("g") / fan).cast("int")).groupBy("fold", "g").applyInPandas(add, kind), "sums")
+        discard(parts)
+        parts = after
+    return {r["fold"]: np.frombuffer(r["v"]) for r in parts.collect()}  # an array for each fold
 
 
 def isotonic(hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -120,40 +130,61 @@ def isotonic(hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), level) for level, _, n in blocks])
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", dims: int = 256, width: float = 0.12, ridge: float = 1e-3, bins: int = 200, seed: int = 7, id_col: str = "doc_id") -> Model:
+FOLDS = 5
+RIDGES = (1e-5, 1e-4, 1e-3, 1e-2, 0.1, 1.0)
+
+
+def _solve(gram: np.ndarray, right: np.ndarray, ridge: float, n: float) -> np.ndarray:
+    """Ridge regression's weights; the last feature, a constant, is not drawn to 0."""
+    d = len(right)
+    pull = np.append(np.full(d - 1, ridge * n / (d - 1)), 0) + 1e-9
+    return np.linalg.solve(gram + np.diag(pull), right)
+
+
+def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", dims: int = 256, width: float = 0.03, ridges: tuple[float, ...] = RIDGES, bins: int = 200, seed: int = 7, id_col: str = "doc_id") -> Model:
     """Fit on every labelled row that isn't held out. stats: of measured(). Without such rows every score is 0.5.
 
-    Labels that are null or not 0 or 1 are left out; of repeated labels the largest counts.
+    Labels that are null or not 0 or 1 are left out; of repeated labels the largest counts. Rows that repeat
+    an id are rows of their own, in one fold. Of `ridges` that of least squared error over left-out folds is taken.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
-    rows = saved(stats.join(known, "id").select("x", F.col("y").cast("double").alias("y")), "labelled")
-    k = len(STATISTICS)
-    first = _summed(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x**2).sum(0)]), 2 + 2 * k)
+    fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int")
+    rows = saved(stats.join(known, "id").select("x", F.col("y").cast("double").alias("y"), fold.alias("fold")), "labelled")
+    k, d = len(STATISTICS), dims + 1
+    first = sum(_summed(rows, lambda x, y, fold: np.concatenate([[len(y)], x.sum(0), (x**2).sum(0)])).values(), np.zeros(1 + 2 * k))
     n = first[0]
     rng = np.random.default_rng(seed)
-    mean = first[2 : 2 + k] / max(n, 1)
-    scale = np.sqrt(np.maximum(first[2 + k :] / max(n, 1) - mean**2, 1e-8))
-    model = Model(mean, scale, rng.normal(0, math.sqrt(2 * width / 2), (k, dims)), rng.uniform(0, 2 * math.pi, dims), np.zeros(dims + 1), np.zeros(bins))
+    mean = first[1 : 1 + k] / max(n, 1)
+    scale = np.sqrt(np.maximum(first[1 + k :] / max(n, 1) - mean**2, 1e-8))
+    model = Model(mean, scale, rng.normal(0, math.sqrt(width), (k, dims)), rng.uniform(0, 2 * math.pi, dims), np.zeros(d), np.zeros(bins))
     if not n:
         model.weights[-1], model.levels = 0.5, np.full(bins, 0.5)
         return model
-    d = dims + 1
 
-    def equations(x, y):
+    def equations(x, y, fold):
         z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
-
-    total = _summed(rows, equations, d * d + d)
-    pull = ridge * n * np.append(np.full(dims, 1.0 / dims), 0)
-    model.weights = np.linalg.solve(total[: d * d].reshape(d, d) + np.diag(pull + 1e-9), total[d * d :])
+        return np.concatenate([[len(y)], (z.T @ z).ravel(), z.T @ y])
+
+    own = _summed(rows, equations)
+    total = sum(own.values())
+    split = lambda v: (v[1 : 1 + d * d].reshape(d, d), v[1 + d * d :])
+    left_out = {f: np.stack([_solve(*split(total - v), r, n - v[0]) for r in ridges], axis=1) for f, v in own.items()}
+
+    def tested(x, y, fold):
+        """For each ridge: squared error, then hits and counts by bin, of the scores that other folds' equations give."""
+        raw = model.features(x) @ left_out[fold]
+        return np.concatenate([_binned(raw[:, i], y, model, bins) for i in range(len(ridges))])
+
+    found = sum(_summed(rows, tested).values()).reshape(len(ridges), -1)
+    best = int(found[:, 0].argmin())
+    model.weights = _solve(*split(total), ridges[best], n)
+    model.levels = isotonic(found[best, 1 : 1 + bins], found[best, 1 + bins :])
+    return model
 
-    def binned(x, y):
-        at = model.bins(model.raw(x))
-        return np.concatenate([np.bincount(at, y, bins), np.bincount(at, minlength=bins)])
 
-    both = _summed(rows, binned, 2 * bins)
-    model.levels = isotonic(both[:bins], both[bins:])
-    return model
+def _binned(raw: np.ndarray, y: np.ndarray, model: Model, bins: int) -> np.ndarray:
+    at = model.bins(raw)
+    return np.concatenate([[((raw - y) ** 2).sum()], np.bincount(at, y, bins), np.bincount(at, minlength=bins)])
 
 
 def score(stats: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -165,5 +196,5 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             value = model.score(np.stack(frame["x"].to_numpy())) if len(frame) else []
             yield pd.DataFrame({"id": frame["id"], "score": value})
 
-    out = stats.withColumn("id", F.col("id").cast("string")).mapInPandas(work, "id string, score double").withColumn("id", F.col("id").cast(kind))
+    out = stats.withColumn("id", F.col("id").cast("string")).mapInPandas(tidy(work), "id string, score double").withColumn("id", F.col("id").cast(kind))
     return out.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
