@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows of a few numbers may be broadcast; it is counted first.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most this many rows of a few numbers, some 10 MB, may be broadcast; it is counted first.
+BROADCAST_ROWS = 250_000
+_open = threading.local()  # the scopes of saved tables that this thread is in
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,17 +37,59 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df as written to the shared scratch folder and read back; a lost executor costs a task, not the table."""
     path = scratch_path(df.sparkSession, label)
+    if scopes := getattr(_open, "scopes", None):
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(df: DataFrame) -> set[str]:
+    return {x.rsplit("/", 2)[1] for x in df.inputFiles()}
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files behind frames that saved() returned; nothing may read them afterwards."""
     for df in frames:
-        spark = df.sparkSession
-        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, sorted({x.rsplit("/", 1)[0] for x in df.inputFiles()}))
+
+
+class Scope:
+    """The tables that are saved within, and which of them stay."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, whose saved tables outlive the scope."""
+        self.kept.append(df)
+        return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scope]:
+    """Deletes at its end the tables that are saved within, but for those that Scope.keep() is given.
+
+    Frames that read a deleted table can't be used any more: what is returned must read kept tables alone. Kept
+    tables belong to the scope around, if there is one. After an exception all tables stay, for a second look.
+    """
+    scopes = _open.scopes = getattr(_open, "scopes", [])
+    scope = Scope()
+    scopes.append(scope.paths)
+    try:
+        yield scope
+    finally:
+        scopes.pop()
+    stay = set().union(*(_folder(df) for df in scope.kept))
+    if scopes:
+        scopes[-1].extend(x for x in scope.paths if x.rsplit("/", 1)[1] in stay)
+    _delete(spark, [x for x in scope.paths if x.rsplit("/", 1)[1] not in stay])
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
