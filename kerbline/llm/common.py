@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.storage import BROADCAST_ROWS, discard, saved, scratch_path
+from kerbline.storage import BROADCAST_ROWS, discard, saved, scratch, scratch_path
 from kerbline.storage import small as broadcast_if_small
 
-__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "discard", "held_out", "saved", "scratch_path", "table", "tidy", "union_all"]
+__all__ = ["BROADCAST_ROWS", "broadcast_if_small", "discard", "held_out", "saved", "scratch", "scratch_path", "table", "tidy", "union_all"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

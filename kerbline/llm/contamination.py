@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kerbline.llm.common import BROADCAST_ROWS, broadcast_if_small, saved
+from kerbline.llm.common import BROADCAST_ROWS, broadcast_if_small, saved, scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,6 +97,17 @@ def near(index: DataFrame, wanted: DataFrame, within: int) -> DataFrame:
     return full.select("key", "doc").distinct()
 
 
+def _per_document(places: DataFrame, owners: DataFrame) -> DataFrame:
+    """(_doc, n_hit, item_ids) of documents with places (key, doc, at, n); owners: (key, item)."""
+    spans = places.groupBy("doc", "at").agg(F.max("n").alias("n"))  # one span for each start: overlaps are cut below
+    over = W.partitionBy("doc").orderBy("at")
+    before = F.coalesce(F.max(F.col("at") + F.col("n")).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cover = spans.select("doc", F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest("at", before)).alias("c")).groupBy("doc").agg(F.sum("c").alias("n_hit"))
+    of_doc = places.select("doc", "key").distinct().join(owners, "key").select("doc", "item").distinct().groupBy("doc")
+    of_doc = of_doc.agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
+    return cover.join(of_doc, "doc").withColumnRenamed("doc", "_doc")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Per document: (id, n_words, n_hit, n_items, item_ids, contaminated); and the occurrences (item, doc, at, n).
 
@@ -105,20 +116,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     document each in n_words, but share their hits; null ids are clean. Extra columns are ignored. No
     benchmark rows: every document is clean.
     """
-    # words hold no space, so a window's joined words stand for it; 128 bits keep all windows apart
-    key = F.unhex(F.md5(F.array_join("terms", " ").cast("binary")))
-    windows = saved(_windows(items, size, item_col, item_text).select(key.alias("key"), "item", "terms").dropDuplicates(["key", "item"]), "windows")
-    wanted = saved(windows.select("key", "terms").dropDuplicates(["key"]), "phrases")
-    index = build_index(docs, wanted.select(F.explode("terms").alias("term")), id_col, text_col)
-    places = saved(phrases(index, wanted), "places")
-    hits = places.join(broadcast_if_small(wanted.select("key", F.size("terms").alias("n"))), "key")
-    owners = broadcast_if_small(windows.select("key", "item"))
-    spans = hits.groupBy("doc", "at").agg(F.max("n").alias("n"))  # one span for each start: overlaps are cut below
-    over = W.partitionBy("doc").orderBy("at")
-    before = F.coalesce(F.max(F.col("at") + F.col("n")).over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cover = spans.select("doc", F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest("at", before)).alias("c")).groupBy("doc").agg(F.sum("c").alias("n_hit"))
-    of_doc = places.select("doc", "key").distinct().join(owners, "key").select("doc", "item").distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
-    per = cover.join(of_doc, "doc").withColumnRenamed("doc", "_doc")
+    with scratch(docs.sparkSession) as scope:
+        # words hold no space, so a window's joined words stand for it; 128 bits keep all windows apart
+        key = F.unhex(F.md5(F.array_join("terms", " ").cast("binary")))
+        windows = _windows(items, size, item_col, item_text).select(key.alias("key"), "item", "terms").dropDuplicates(["key", "item"])
+        windows = saved(windows, "windows")
+        wanted = saved(windows.select("key", "terms").dropDuplicates(["key"]), "phrases")
+        index = build_index(docs, wanted.select(F.explode("terms").alias("term")), id_col, text_col)
+        places = phrases(index, wanted).join(broadcast_if_small(wanted.select("key", F.size("terms").alias("n"))), "key")
+        places = scope.keep(saved(places, "places"))
+        owners = broadcast_if_small(scope.keep(saved(windows.select("key", "item"), "owners")))
+        per = scope.keep(saved(_per_document(places, owners), "hits"))
     rows = docs.select(F.col(id_col).alias(id_col), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     out = rows.join(per, F.col(id_col) == F.col("_doc"), "left").select(
         id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -126,4 +134,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
-    return out, hits.join(owners, "key").select("item", "doc", "at", "n")
+    return out, places.join(owners, "key").select("item", "doc", "at", "n")

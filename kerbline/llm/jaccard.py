@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.buckets import crowded, link, may_reach, shared_cores
-from kerbline.llm.common import broadcast_if_small, saved, tidy
+from kerbline.llm.common import broadcast_if_small, saved, scratch, tidy
 from kerbline.llm.shingles import SIZE, shingle_set
 from kerbline.operators.components import components
 
@@ -118,17 +118,8 @@ def _sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> Callable[[D
     return of
 
 
-def jaccard_join(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) per row: set size and the least id that links reach, the row's own included.
-
-    Texts link when 100 * shared >= percent * all of their distinct shingles of `size` words. Documents with
-    equal sets are one node, so copies cost nothing beyond the first. Null and empty texts have an empty set
-    and link with nothing. Rows that repeat an id count once as a node (their texts should be equal). Rows
-    with a null id have their set size and a null component. Extra columns are ignored.
-    """
-    marks = signatures(docs, percent, size, id_col, text_col)
-    nodes = marks.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "grp", "p")).alias("x"))
-    nodes = saved(nodes.select("digest", F.col("x.id").alias("node"), "x.n", "x.grp", "x.p"), "nodes")
+def _links(docs: DataFrame, marks: DataFrame, nodes: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) links that connect whatever similar nodes there are."""
     groups = saved(nodes.groupBy("grp", "n", "p").agg(F.min("node").alias("id"), F.count("*").alias("members")), "groups")
     leads = groups.where("members > 1").select("grp", "n", F.col("id").alias("lead"))
     members = saved(nodes.join(leads, ["grp", "n"]).select("lead", "node", F.col("n").alias("size")), "members")
@@ -143,10 +134,24 @@ def jaccard_join(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: s
     def cores(open_: DataFrame) -> DataFrame:
         return shared_cores(sets(open_.select(F.col("node").alias("id"))), open_)
 
-    links = link(crowded(_postings(marks, groups)), may_reach(percent), verify, cores, None if members.isEmpty() else members)
-    comp = components(links, "a", "b").withColumnRenamed("id", "node")
-    comp = nodes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    kept = marks.select("id", "n", "digest").join(comp, "digest", "left")
+    return link(crowded(_postings(marks, groups)), may_reach(percent), verify, cores, None if members.isEmpty() else members)
+
+
+def jaccard_join(docs: DataFrame, percent: int = 80, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) per row: set size and the least id that links reach, the row's own included.
+
+    Texts link when 100 * shared >= percent * all of their distinct shingles of `size` words. Documents with
+    equal sets are one node, so copies cost nothing beyond the first. Null and empty texts have an empty set
+    and link with nothing. Rows that repeat an id count once as a node (their texts should be equal). Rows
+    with a null id have their set size and a null component. Extra columns are ignored.
+    """
+    with scratch(docs.sparkSession) as scope:
+        marks = signatures(docs, percent, size, id_col, text_col)
+        nodes = marks.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "grp", "p")).alias("x"))
+        nodes = saved(nodes.select("digest", F.col("x.id").alias("node"), "x.n", "x.grp", "x.p"), "nodes")
+        comp = components(_links(docs, marks, nodes, percent, size, id_col, text_col), "a", "b").withColumnRenamed("id", "node")
+        comp = nodes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+        kept = scope.keep(saved(marks.select("id", "n", "digest").join(comp, "digest", "left").select("id", "n", "component"), "components"))
     out = kept.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.unionByName(_nameless(docs.where(F.col(id_col).isNull()), out, size, id_col, text_col))
 

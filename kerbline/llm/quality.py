@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import discard, held_out, saved, tidy
+from kerbline.llm.common import discard, held_out, saved, scratch, tidy
 
 STATISTICS = (
     "log_bytes", "log_words", "log_lines", "upper", "lower", "digit", "space", "line_break", "end_mark", "comma", "shout", "pipe", "symbol", "other_mark",
@@ -149,7 +149,13 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", dims: int =
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
     fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int")
-    rows = saved(stats.join(known, "id").select("x", F.col("y").cast("double").alias("y"), fold.alias("fold")), "labelled")
+    with scratch(stats.sparkSession):
+        rows = stats.join(known, "id").select("x", F.col("y").cast("double").alias("y"), fold.alias("fold"))
+        return _fit(saved(rows, "labelled"), dims, width, ridges, bins, seed)
+
+
+def _fit(rows: DataFrame, dims: int, width: float, ridges: tuple[float, ...], bins: int, seed: int) -> Model:
+    """rows: (x, y, fold)."""
     k, d = len(STATISTICS), dims + 1
     first = sum(_summed(rows, lambda x, y, fold: np.concatenate([[len(y)], x.sum(0), (x**2).sum(0)])).values(), np.zeros(1 + 2 * k))
     n = first[0]

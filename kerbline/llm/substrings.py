@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.buckets import crowded, link, may_reach, shared_cores
-from kerbline.llm.common import broadcast_if_small, saved, tidy
+from kerbline.llm.common import broadcast_if_small, saved, scratch, tidy
 from kerbline.llm.shingles import SIZE, mix, shingle_hashes, word_hashes
 from kerbline.operators.components import components
 
@@ -276,17 +276,16 @@ def removals(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
 
     First words of runs, numbers of lines, and what _edges() gives.
     """
-    own = parts(docs, id_col, text_col)
-    gone = _lost_lines(docs, own, percent, id_col, text_col)
-    lost = _lost_runs(own, gone)
-    edges = _edges(docs, lost, gone, id_col, text_col)
-    nothing = F.lit(None)
-    edge = F.struct("at", "side", "h")
-    rows = lost.select("id", F.col("idx").alias("run"), nothing.cast("int").alias("line"), nothing.cast("struct<at:int,side:int,h:array<bigint>>").alias("edge"))
-    rows = rows.unionByName(gone.select("id", F.col("idx").alias("line")), allowMissingColumns=True)
-    rows = rows.unionByName(edges.select("id", edge.alias("edge")), allowMissingColumns=True)
-    each = rows.groupBy("id").agg(F.collect_set("run").alias("runs"), F.collect_set("line").alias("lines"), F.collect_list("edge").alias("edges"))
-    return saved(each, "removals")
+    with scratch(docs.sparkSession) as scope:
+        own = parts(docs, id_col, text_col)
+        gone = _lost_lines(docs, own, percent, id_col, text_col)
+        lost = _lost_runs(own, gone)
+        edges = _edges(docs, lost, gone, id_col, text_col)
+        rows = lost.select("id", F.col("idx").alias("run")).distinct()
+        rows = rows.unionByName(gone.select("id", F.col("idx").alias("line")), allowMissingColumns=True)
+        rows = rows.unionByName(edges.select("id", F.struct("at", "side", "h").alias("edge")), allowMissingColumns=True)
+        each = rows.groupBy("id").agg(F.collect_set("run").alias("runs"), F.collect_set("line").alias("lines"), F.collect_list("edge").alias("edges"))
+        return scope.keep(saved(each, "removals"))
 
 
 def spans_to_remove(text: str, runs, lines, edges=()) -> list[tuple[int, int]]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import held_out, saved, tidy
+from kerbline.llm.common import held_out, saved, scratch, tidy
 
 # Voters that need no training rows.
 LEXICON = (
@@ -27,18 +27,20 @@ LEXICON = (
     "dummkopf", "abschaum", "idiota", "imbécil", "estúpido", "basura", "hijo de puta",
 )
 PATTERNS = {
-    "insult": re.compile(r"\byou(?:'re|r| are)? (?:just |nothing but )?(?:a |an |such an? )?(?:" + "|".join(w for w in LEXICON if w.isascii() and " " not in w) + r")\b"),
-    "threat": re.compile(r"\b(?:i'?ll|i will|we'?ll|we will|going to) (?:kill|hurt|beat|find) you\b"),
+    "insult": re.compile(r"you(?:'re|r| are)? (?:just |nothing but )?(?:a |an |such an? )?(?:" + "|".join(w for w in LEXICON if w.isascii() and " " not in w) + r")\b"),
+    "threat": re.compile(r"(?:kill|hurt|beat|find) you\b"),
     "marks": re.compile(r"[!?]{3,}"),
-    "disguised": re.compile(r"\b[a-z]+[*@$0134]+[a-z]+\b"),
-    "polite": re.compile(r"\b(?:please|thank you|thanks|merci|danke|bitte|gracias|por favor)\b"),
-    "notice": re.compile(r"\b(?:licen[cs]ed under|all rights reserved|terms of use|copyright \d{4})"),
+    "disguised": re.compile(r"(?<=[a-z])[*@$0134]+(?=[a-z])"),
+}
+PHRASES = {  # patterns that are no more than words
+    "polite": ("please", "thank you", "thanks", "merci", "danke", "bitte", "gracias", "por favor"),
+    "notice": ("licensed under", "licenced under", "all rights reserved", "terms of use", "copyright"),
 }
 CLEAN = ("polite", "notice")  # patterns that vote for the clean class
 _PLAIN = str.maketrans("@$0134", "asoiea")
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(3, 9)  # letters
-STATISTICS = ("log_words", "shouted", "digits", "marks", "distinct")
+STATISTICS = ("log_words", "capitals", "digits", "marks", "distinct")
 
 
 @dataclass
@@ -61,14 +63,14 @@ class Hits:
 
         self.find, by_text = ahocorasick.Automaton(), defaultdict(list)
         for i, (kind, text) in enumerate(voters):
-            if kind != "x":
-                by_text[text].append((i, kind))
+            for phrase in PHRASES.get(text, ()) if kind == "x" else (text,):
+                by_text[phrase].append((i, kind))
         for text, own in by_text.items():
             self.find.add_word(text, (len(text), own))
         if by_text:
             self.find.make_automaton()
         self.any = bool(by_text)
-        self.patterns = [(i, text) for i, (kind, text) in enumerate(voters) if kind == "x"]
+        self.patterns = [(i, text) for i, (kind, text) in enumerate(voters) if kind == "x" and text in PATTERNS]
 
     def __call__(self, text: str | None) -> set[int]:
         out: set[int] = set()
@@ -95,7 +97,15 @@ class Hits:
 def _fires(name: str, low: str) -> bool:
     if name != "disguised":
         return PATTERNS[name].search(low) is not None
-    return any(m.group().translate(_PLAIN) in LEXICON for m in PATTERNS[name].finditer(low))
+    for m in PATTERNS[name].finditer(low):  # the word around the marks
+        a, b = m.span()
+        while a and (low[a - 1].isalpha() or low[a - 1] in "*@$0134"):
+            a -= 1
+        while b < len(low) and (low[b].isalpha() or low[b] in "*@$0134"):
+            b += 1
+        if b - a < 24 and low[a:b].translate(_PLAIN) in LEXICON:
+            return True
+    return False
 
 
 def statistics(text: str | None) -> list[float]:
@@ -103,10 +113,10 @@ def statistics(text: str | None) -> list[float]:
     if not text:
         return [0.0] * len(STATISTICS)
     words = text.split()
-    n, size = max(1, len(words)), len(text)
-    shouted = sum(len(w) > 2 and w.isupper() for w in words)
-    marks = text.count("!") + text.count("?")
-    return [math.log1p(len(words)), shouted / n, sum(map(text.count, "0123456789")) / size, marks / size, len(set(words)) / n]
+    counts = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=128)
+    size = counts.sum()
+    capitals, digits, marks = counts[65:91].sum() / size, counts[48:58].sum() / size, (counts[33] + counts[63]) / size
+    return [math.log1p(len(words)), capitals, digits, marks, len(set(words)) / max(1, len(words))]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,11 +249,16 @@ def fit(
     hits of `most` rows. Mined voters have this precision among training rows, and a chance below `chance` to be
     in so many toxic ones. Without labelled rows the lexicon and the patterns vote, with smoothed rates.
     """
-    rows = saved(training_rows(docs, labels, label, most, id_col, text_col), "training")
+    with scratch(docs.sparkSession):
+        rows = saved(training_rows(docs, labels, label, most, id_col, text_col), "training")
+        return _fit(rows, voters, precision, chance)
+
+
+def _fit(rows: DataFrame, voters: int, precision: float, chance: float) -> Model:
     total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (bad + 1) / (total + 10)
     mined = _mine(rows, prior, 4, precision, chance, voters) if bad else []
-    names = list(dict.fromkeys([*(("w", w) for w in LEXICON), *(("x", p) for p in PATTERNS), *mined]))
+    names = list(dict.fromkeys([*(("w", w) for w in LEXICON), *(("x", p) for p in (*PATTERNS, *PHRASES)), *mined]))
     clean = np.array([kind == "x" and text in CLEAN for kind, text in names])
 
     def vote(frames):

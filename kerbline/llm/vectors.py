@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import saved, tidy
+from kerbline.llm.common import saved, scratch, tidy
 from kerbline.operators.components import components
 
 
@@ -165,14 +165,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = 8
     links between groups is kept by effort(): passes and planes are the least that are made, and grow with
     the rows of the largest label. It is measured in the tests.
     """
-    member, reps = distinct_vectors(vectors, id_col, vec_col, label_col)
-    most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes, planes = effort(most, threshold, passes, planes, window, miss)
-    comp = saved(components(_passes(reps, threshold, passes, planes, window, seed), "a", "b"), "components")
-    links = saved(_within(reps, comp, threshold, block), "links")
-    per = reps.select("rep", "copies").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
-    per = per.select("rep", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    of_id = member.join(per, "rep").drop("rep").withColumnRenamed("id", "_id")
+    with scratch(vectors.sparkSession) as scope:
+        member, reps = distinct_vectors(vectors, id_col, vec_col, label_col)
+        most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        passes, planes = effort(most, threshold, passes, planes, window, miss)
+        comp = saved(components(_passes(reps, threshold, passes, planes, window, seed), "a", "b"), "components")
+        links = saved(_within(reps, comp, threshold, block), "links")
+        per = reps.select("rep", "copies").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
+        per = per.select("rep", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        of_id = scope.keep(saved(member.join(per, "rep").drop("rep").withColumnRenamed("id", "_id"), "linked"))
     out = vectors.select(F.col(id_col)).join(of_id, F.col(id_col) == F.col("_id"), "left")
     component = F.coalesce("component_id", F.col(id_col))
     return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col(id_col)).alias("kept"))
