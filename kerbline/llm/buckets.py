@@ -63,6 +63,22 @@ def may_reach(percent: int) -> Callable[[str, str], Column]:
     return may
 
 
+#: Elements of all sets together, 8 bytes each, up to which sets are broadcast to the pairs that they verify.
+BROADCAST_ELEMENTS = 1_000_000
+
+
+def similar(pairs: DataFrame, sets: DataFrame, key: str, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of percent / 100 or more; sets: (key, s array<long>), stored.
+
+    Sets come to the pairs in a broadcast where they are few, counted by element; else pairs are shuffled to the sets.
+    """
+    few = (sets.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_ELEMENTS
+    one, two = (sets.select(F.col(key).alias(c), F.col("s").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    met = pairs.join(F.broadcast(one) if few else one, "a").join(F.broadcast(two) if few else two, "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+
+
 def _first() -> Column:
     return F.min(F.struct("rank", (-F.col("size")).alias("s"), "node", "size", "pos")).alias("p")
 

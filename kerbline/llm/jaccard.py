@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.buckets import crowded, link, may_reach, shared_cores
+from kerbline.llm.buckets import crowded, link, may_reach, shared_cores, similar
 from kerbline.llm.common import broadcast_if_small, saved, scratch, tidy
 from kerbline.llm.shingles import SIZE, shingle_set
 from kerbline.operators.components import components
@@ -126,10 +126,7 @@ def _links(docs: DataFrame, marks: DataFrame, nodes: DataFrame, percent: int, si
     sets = _sets(docs, size, id_col, text_col)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-        met = pairs.join(own.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+        return similar(pairs, sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))), "id", percent)
 
     def cores(open_: DataFrame) -> DataFrame:
         return shared_cores(sets(open_.select(F.col("node").alias("id"))), open_)

@@ -22,8 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from kerbline.llm.buckets import crowded, link, may_reach, shared_cores
+from kerbline.llm.buckets import crowded, link, may_reach, shared_cores, similar
 from kerbline.llm.common import broadcast_if_small, saved, scratch, tidy
 from kerbline.llm.shingles import SIZE, mix, shingle_hashes, word_hashes
 from kerbline.operators.components import components
@@ -205,10 +206,7 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
         return out
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")))
-        met = pairs.join(own.select(F.col("digest").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("digest").alias("b"), F.col("s").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return met.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+        return similar(pairs, sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b"))), "digest", percent)
 
     def cores(open_: DataFrame) -> DataFrame:
         return shared_cores(sets_of(open_.select(F.col("node").alias("digest"))).withColumnRenamed("digest", "id"), open_)
@@ -222,32 +220,38 @@ def _lost_lines(docs: DataFrame, own: DataFrame, percent: int, id_col: str, text
     comp = _similar_lines(docs, lines, percent, id_col, text_col)
     named = lines.select("id", "idx", "digest").join(comp, "digest", "left").withColumn("of", F.coalesce("component", "digest"))
     first = named.groupBy("of").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last")
-    return saved(named.join(first.select("of", "keeper"), "of").where("id <> keeper").select("id", "idx"), "gone")
+    first = saved(first.select("of", "keeper"), "keepers")  # stored, so that Spark may split a hot key's rows in the join
+    return saved(named.join(broadcast_if_small(first), "of").where("id <> keeper").select("id", "idx"), "gone")
 
 
 def _lost_runs(own: DataFrame, gone: DataFrame) -> DataFrame:
     """(id, idx, keeper, at) of the runs that go, by first word, and where their keeper has them; stored."""
     runs = own.where("kind = 'r'").select("id", F.inline(F.arrays_zip("at", "keys", "line", "more")).alias("idx", "digest", "line", "n"))
     shared = runs.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
-    runs = saved(runs.join(shared.select("digest"), "digest", "left_semi"), "shared")
+    shared = saved(shared.select("digest"), "digests")  # as are the keepers below
+    runs = saved(runs.join(broadcast_if_small(shared), "digest", "left_semi"), "shared")
     touched = runs.select("id", F.col("idx").alias("at"), F.explode(F.expr("sequence(line, line + n)")).alias("idx"))
     cut = touched.join(gone, ["id", "idx"], "left_semi").select("id", F.col("at").alias("idx")).distinct()
     runs = saved(runs.join(cut, ["id", "idx"], "left_anti").select("id", "idx", "digest"), "left")
     keepers = runs.groupBy("digest").agg(F.min(F.struct("id", "idx")).alias("k"), F.max("id").alias("last")).where("k.id < last")
-    lost = runs.join(keepers.select("digest", "k"), "digest").where("id <> k.id")
-    return saved(lost.select("id", "idx", F.col("k.id").alias("keeper"), F.col("k.idx").alias("at")), "lost")
+    keepers = saved(keepers.select("digest", "k"), "keepers")
+    lost = runs.join(broadcast_if_small(keepers), "digest").where("id <> k.id")
+    return saved(lost.select("id", "idx", F.col("k.id").alias("keeper"), F.col("k.idx").alias("at")).distinct(), "lost")
 
 
 def _edges(docs: DataFrame, lost: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, side, h): for the first and last of a document's runs that one keeper has in a row, the keeper's words beside them.
+    """(id, at, side, h): for the first and last run of each stretch that a document loses, the keeper's words beside it.
 
     side 0: at is the first word of the stretch's first run, h the words before; side 1: the last run's, and the
     words behind. Words of lines that the keeper loses end h. WINDOW - 1 words are all that winnowing can leave.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = lost.groupBy("id", "keeper", (F.col("idx") - F.col("at")).alias("shift")).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("side")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("side")))
-    rows = saved(rows.select("id", "keeper", "shift", F.inline(ends).alias("at", "side")), "ends")
+    by = W.partitionBy("id").orderBy("idx")
+    opens = F.coalesce(F.col("idx") - F.lag("idx").over(by) > PASSAGE_WORDS, F.lit(True))
+    closes = F.coalesce(F.lead("idx").over(by) - F.col("idx") > PASSAGE_WORDS, F.lit(True))
+    rows = lost.select("id", "keeper", "idx", (F.col("idx") - F.col("at")).alias("shift"), opens.alias("opens"), closes.alias("closes"))
+    sides = F.concat(F.when(F.col("opens"), F.array(F.lit(0))).otherwise(F.array()), F.when(F.col("closes"), F.array(F.lit(1))).otherwise(F.array()))
+    rows = saved(rows.where("opens OR closes").select("id", "keeper", "shift", F.col("idx").alias("at"), F.explode(sides).alias("side")), "ends")
     places = rows.select("keeper", F.struct((F.col("at") - F.col("shift")).alias("at"), "side").alias("x")).distinct()
     want = places.groupBy(F.col("keeper").alias("id")).agg(F.collect_list("x").alias("want"))
     want = want.join(gone.groupBy("id").agg(F.collect_set("idx").alias("gone")), "id", "left")
