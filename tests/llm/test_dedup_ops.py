@@ -95,19 +95,41 @@ def test_passages_in_any_lines(spark, one, two):
     got = {r["doc_id"]: r["text"] for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
     for i, (p, _, b, c) in enumerate(made):
         left = got[20 + i].split()
-        kept = [w for w in p.split() if w in left]
-        assert got[i] == texts[i] and left[:20] == b.split() and left[-20:] == c.split() and len(kept) <= 22
+        assert got[i] == texts[i] and left == b.split() + c.split()  # the passage is gone to the word
 
 
 def test_only_repeats_are_removed(spark):
     rng = random.Random(10)
-    head, foot, own = sentence(rng, 20), sentence(rng, 20), broken(sentence(rng, 300), (3, 2, 1))
+    head, foot, own = sentence(rng, 30), sentence(rng, 30), broken(sentence(rng, 300), (3, 2, 1))
     x, y = sentence(rng, 8), sentence(rng, 8)
     texts = [head + "\n" + foot, head + "\n" + own + "\n" + foot, sentence(rng, 9) + "\n" + x, sentence(rng, 9) + "\n" + y, sentence(rng, 9) + "\n" + x + "\n" + y]
     got = {r["doc_id"]: r["text"] for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
     assert got[1].strip() == own and all(got[i] == texts[i] for i in (0, 2, 3, 4))
 
 
+def test_short_lines_are_no_passages(spark):
+    rng = random.Random(12)
+    notice, greeting = sentence(rng, 13), sentence(rng, 9)
+    texts = [sentence(rng, 40) + "\n" + notice + "\n" + sentence(rng, 40) + "\n" + greeting for _ in range(30)]
+    df = spark.createDataFrame([(i, t, 2**60 + i if i else None) for i, t in enumerate(texts)] + [(0, texts[0], None)], "doc_id long, text string, _lost long")
+    rows = substrings.dedup(df.repartition(2)).collect()
+    assert len(rows) == 31 and all(r["text"] == texts[r["doc_id"]] and not r["removed_spans"] for r in rows)
+    assert all(r["_lost"] == (2**60 + r["doc_id"] if r["doc_id"] else None) for r in rows)
+
+
+def test_similar_paragraphs_match_all_pairs(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(12):
+        base = sentence(rng, 120)
+        texts += [base] + [" ".join(w if i != at else "new" for i, w in enumerate(base.split())) for at in (3, 40, 77)]  # similarity 0.9
+    texts += [sentence(rng, 60) for _ in range(20)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["text"] for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    want = brute(list(enumerate(texts)))
+    assert all((got[i] == texts[i]) == (want[i][1] == i) and (got[i] == "" or want[i][1] == i) for i in want)
+
+
 def test_a_copy_of_each_passage_stays(spark):
     rng = random.Random(11)
     page, inner = sentence(rng, 400), sentence(rng, 60)
@@ -115,7 +137,7 @@ def test_a_copy_of_each_passage_stays(spark):
     texts = [page, " ".join(w[:200] + [inner] + w[200:]), *(sentence(rng, 30) + " " + inner + " " + sentence(rng, 30) for _ in range(2))]
     got = {r["doc_id"]: r["text"] for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
     assert got[0] == texts[0] and got[1] == "" and got[2] == texts[2]
-    assert len(got[3].split()) <= 82 and got[3].split()[:30] == texts[3].split()[:30]
+    assert got[3].split() == texts[3].split()[:30] + texts[3].split()[-30:]
 
 
 def test_cutting_keeps_the_rest():
@@ -193,11 +215,13 @@ def accuracy(scored, labels, label, key="doc_id"):
 def test_toxicity_held_out(spark, labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels)
+    few = toxicity.training_rows(docs.unionByName(docs).unionByName(docs), labels, "toxic", 100)
+    assert few.count() == 100  # however often a document stands there
     out = toxicity.score(docs, model)
     assert accuracy(out, labels, "toxic") > 0.97
     got = {r["doc_id"]: r for r in out.collect()}
     assert len(got) == 703 and 0 <= got[1000]["score"] < 0.5 and got[1000]["score"] == got[1001]["score"] and got[None]["predicted"] == 1 and got[None]["held_out"] is False
-    assert any(t.startswith("zork") for _, t in model.voters)
+    assert any("zorkle".startswith(t) for kind, t in model.voters if kind in "pq")
     bare = toxicity.fit(docs, labels.limit(0))
     assert {r["predicted"] for r in toxicity.score(docs.where("doc_id IS NULL OR doc_id = 1001"), bare).collect()} == {0, 1}
     assert toxicity.score(docs.limit(0), bare).count() == 0
@@ -217,6 +241,9 @@ def test_quality_held_out(spark, labelled):
     stats = quality.measured(docs)
     out = quality.score(stats, quality.fit(stats, labels)).withColumnRenamed("id", "doc_id")
     assert accuracy(out, labels, "quality") > 0.97 and out.count() == 703
+    small = quality.fit(stats, labels.where("doc_id < 150"))  # calibrated on left-out folds: no worse than the base rate
+    assert accuracy(quality.score(stats, small).withColumnRenamed("id", "doc_id"), labels, "quality") > 0.75
+    assert quality.score(stats.limit(0), small).count() == 0
     assert out.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
     assert {r["score"] for r in quality.score(stats.limit(3), quality.fit(stats, labels.limit(0))).collect()} <= {0.5, 0.4995 + 0.0005, 0.999 * 0.5 + 0.0005}
     assert quality.isotonic(np.array([1.0, 0, 3]), np.array([1.0, 1, 4])).tolist() == [0.5, 0.5, 0.75]

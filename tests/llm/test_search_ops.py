@@ -27,6 +27,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    x, y, huge = "x" * 1500, "y" * 1500, "z" * 20_000_000
+    pages = [(1, x), (1, y), (2, x), (3, y), (3, y), (4, huge), (None, x), (None, None)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string").repartition(2)
+    got = sorted((r["id"], r["payload_digest"], r["type"], r["refers_to"]) for r in warc.round_trip(df, payloads=False).collect())
+    of = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    want = [("1", of(x), "revisit", "2"), ("1", of(y), "revisit", "3"), ("2", of(x), "response", None), ("3", of(y), "response", None), ("3", of(y), "response", None)]
+    want += [("4", of(huge), "response", None), ("None", of(x), "response", None), ("None", of(None), "response", None)]
+    assert [str(g) for g in got] == [str(w) for w in sorted(want)]
+
+
+def test_encoder_matches_tokenizers():
+    import random
+
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, bits = random.Random(1), ["a", "The", " ", "  ", "\n", "\t", "é", "ß", "12", "!!", "'s", "'LL", "\u00a0", "\u3000", "日本", "\U0001f600", "\x00", "\r\n", "_", "$$$"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))
+        ids = encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode(text) == b"".join(i.to_bytes(4, "little") for i in ids), text
+
+
 def test_warc_files(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://a/{i}", "p" * (i * 7)) for i in range(50)], "page_id long, url string, html string").coalesce(1)
     made = warc.write_archives(df, f"file://{tmp_path}/whole")
