@@ -29,15 +29,15 @@ def on_road(streets: DataFrame, facilities: DataFrame, p: Params) -> DataFrame:
     """streets (id, name, rdclass, parts in metres) with fac, fac_source_ids and coverage.
 
     facilities (id, name, fac, source_id, parts). Facilities within the buffer and of like direction must
-    cover enough of a street; failing that, those of the same name may lie in a wider buffer, which then
-    replaces theirs. Of the categories with a sufficient share of the covered length the most protective wins.
+    cover enough of a street; failing that, those of the same name may lie in a wider buffer (never a narrower
+    one), which then replaces theirs. Of the categories with a sufficient share of the covered length the most protective wins.
     """
     c = p["conflation"]
     open_ = streets.where(~F.coalesce(F.col("rdclass").isin(c["exclude_rdclass"]), F.lit(False)))
     used = facilities.where("fac <> 'none'")
     length = open_.select("id", spatial.line_length(F.col("parts")).alias("total")).where("total > 0")
     plain = saved(_candidates(open_, used, c["buffer_m"], c["max_bearing_delta"]), "standard")
-    wide = _candidates(open_, used, c["named_buffer_m"], c["max_bearing_delta"])
+    wide = _candidates(open_, used, max(c["buffer_m"], c["named_buffer_m"]), c["max_bearing_delta"])
     keys = open_.select("id", name_key("name").alias("k")).join(used.select(F.col("id").alias("fid"), name_key("name").alias("k")), "k").where("k <> ''")
     named = saved(wide.join(keys.select("id", "fid"), ["id", "fid"], "left_semi"), "named")
     enough = lambda spans: spatial.covered(spans, ["id"]).join(length, "id").where(F.col("covered") >= c["min_coverage"] * F.col("total"))

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.operators.components import components
+from kerbline.storage import saved
 
 POINT = "struct<x:double,y:double>"
 
 
 def dense_ids(df: DataFrame, *order: str | Column, out: str = "rank", start: int = 0) -> DataFrame:
-    """df with consecutive numbers in a global order: sizes of sorted parts are summed, then rows numbered within parts."""
+    """df with consecutive numbers in a global order: sizes of sorted parts are summed, then rows numbered within parts.
+
+    The sorted rows are stored with their part, which two plans, or a stage's second run, might number otherwise.
+    """
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    rows = saved(rows, "sorted")
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("_i")))
     sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
     # a row for each partition

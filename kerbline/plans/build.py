@@ -54,6 +54,22 @@ def assemble(streets: DataFrame, paths: DataFrame, links: DataFrame, p: Params)
     return expect_unique(rows, "id")
 
 
+def single_parts(paths: DataFrame) -> DataFrame:
+    """(id, of, name, role, parts, ends_only): each part of a path as a line of its own, with a new id; of is the path's."""
+    lines = paths.select(F.col("id").alias("of"), "name", "role", F.posexplode("parts").alias("part", "line")).where(F.size("line") > 1)
+    lines = network.dense_ids(lines, "of", "part", out="id")
+    return lines.select("id", "of", "name", "role", F.array("line").alias("parts"), (F.col("role") == "campus_path").alias("ends_only"))
+
+
+def path_cuts(paths: DataFrame, found: DataFrame, most: float) -> DataFrame:
+    """(id, cuts) of single-part paths: at their attachments, at half a closed path, and so that no piece is longer than most."""
+    line = F.element_at("parts", 1)
+    marks = paths.select("id", spatial.line_length(F.col("parts")).alias("length"), (F.element_at(line, 1) == F.element_at(line, -1)).alias("closed"))
+    at = marks.join(found.select(F.col("path").alias("id"), F.col("along").alias("at")), "id", "left").select("id", "length", "at")
+    half = marks.where("closed").select("id", "length", (F.col("length") / 2).alias("at"))
+    return conflate.gap_cuts(at.unionByName(half), "length", most).groupBy("id").agg(F.collect_set("at").alias("cuts"))
+
+
 def build(spark: SparkSession, streets: DataFrame, facilities: DataFrame, stations: DataFrame, p: Params, ways: DataFrame | None = None, districts: DataFrame | None = None, flipped: DataFrame | None = None, check: bool = True) -> Build:
     """streets and facilities in degrees (see sources); everything between is in metres."""
     metres = lambda df: df.withColumn("parts", spatial.project(F.col("parts")))
@@ -69,17 +85,25 @@ def build(spark: SparkSession, streets: DataFrame, facilities: DataFrame, statio
     if ways is not None:
         new = conflate.overlapping(metres(ways), off, p["osm.dedupe_buffer_m"], p["osm.dedupe_max_overlap"])
         off = off.unionByName(new.select("id", "name", "parts", "role"))
-    found = saved(conflate.attachments(off, rated, p), "attachments")
+    off = saved(single_parts(off), "paths")
+    found = saved(conflate.attachments(off, rated, p, "ends_only"), "attachments")
     links = saved(conflate.connectors(found), "connectors")
     cut = conflate.split_at(rated, found.select(F.col("target").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y")))
-    ends = found.select(F.col("path").alias("id"), "along")
-    pieces = off.join(off.join(ends, "id", "left").groupBy("id").agg(F.collect_set("along").alias("cuts")), "id")
-    parts = spatial.cut_line(pieces.where(F.size("parts") == 1).select("id", "parts", "cuts")).join(off.drop("parts"), "id")
+    cut = saved(cut, "split")
+    cuts = path_cuts(off, found, p["conflation.max_path_edge_m"])
+    parts = spatial.cut_line(off.join(cuts, "id", "left").select("id", "parts", "cuts")).join(off.drop("parts", "ends_only"), "id")
     paths = network.dense_ids(parts, "id", "piece", out="_new", start=800_000_000).withColumn("id", F.col("_new")).drop("_new", "piece")
     edges = assemble(cut, paths, links, p)
-    edges = network.dense_ids(edges.drop("row_pos"), "id", out="row_pos")
+    degrees = edges.withColumn("_degrees", spatial.project(F.col("parts"), inverse=True))
+    whole = (F.col("kind") == "street") | ~network.collapsed("_degrees", p["meta.coord_decimals"])
+    edges = network.dense_ids(degrees.where(whole).drop("row_pos", "_degrees"), "id", out="row_pos")
     edges = rate(edges.withColumn("miles", spatial.line_length(F.col("parts")) / geo.METRES_PER_MILE), p)
-    edges = edges.withColumn("lts", F.coalesce("fixed_lts", "lts")).withColumn("parts", spatial.project(F.col("parts"), inverse=True))
+    edges = saved(edges.withColumn("lts", F.coalesce("fixed_lts", "lts")), "rated")
+    quiet = edges.where("role = 'campus_path'").select("id", "parts")
+    bike = edges.where("kind = 'street' AND fac <> 'none'").select("id", "parts")
+    beside = saved(conflate.alongside(quiet, bike, p), "beside")
+    edges = edges.join(beside.withColumn("campus", F.lit(True)), "id", "left").withColumn("campus", F.coalesce("campus", F.lit(False)))
+    edges = edges.withColumn("parts", spatial.project(F.col("parts"), inverse=True))
     nodes, edges = network.build_graph(saved(edges, "edges"), decimals=p["meta.coord_decimals"])
     edges = saved(edges, "noded")
     low = rules.is_low_stress("lts", p)
@@ -95,7 +119,8 @@ def build(spark: SparkSession, streets: DataFrame, facilities: DataFrame, statio
     points = edges.select("id", spatial.representative(F.col("parts")).alias("q")).select("id", "q.x", "q.y")
     zones = spatial.inside(points, districts.select("zone", "parts"), 0.01) if districts is not None else points.select("id", F.lit(None).cast("string").alias("zone"))
     edges = saved(edges.join(zones, "id"), "edges")
-    plan = conflate.on_road(base, funded.where("on_road"), p)
+    # streets as they were cut, so that every piece finds its funded facility
+    plan = conflate.on_road(cut.drop("fac", "fac_source_ids", "coverage"), funded.where("on_road"), p)
     better = scenario.upgrades(edges, rate(plan.where("fac <> 'none'"), p).select("id", "lts"))
     return Build(edges, nodes, islands, saved(barriers, "barriers"), better)
 
@@ -109,7 +134,7 @@ def publish(b: Build, out: str, p: Params, version: str, enforce: bool = False)
         files[name] = f"{out}/{name}.geojson"
         sinks.write_features(b.edges.where(F.col("layer") == name), files[name], p["meta.coord_decimals"], as_lines=False)
     files["graph"] = f"{out}/graph.json"
-    sinks.write_json(sinks.graph_json(b.nodes, b.edges.withColumn("campus", F.lit(False)), p["routing.campus_factor"]), files["graph"])
+    sinks.write_json(sinks.graph_json(b.nodes, b.edges, p["routing.campus_factor"]), files["graph"])
     sinks.write_json(sinks.rows_json(b.islands, "island"), f"{out}/islands.json")
     gaps = sinks.rows_json(b.barriers, "rank")
     if gaps:
