@@ -132,7 +132,7 @@ def _open(buckets: DataFrame, comp: DataFrame, members: DataFrame | None) -> Dat
 
 def link(
     buckets: DataFrame, may: Callable, verify: Callable[[DataFrame], DataFrame], cores: Callable[[DataFrame], DataFrame] | None = None,
-    members: DataFrame | None = None, rounds: int = 2,
+    members: DataFrame | None = None, rounds: int = 2, once: bool = False,
 ) -> DataFrame:
     """(a, b) links, a < b, that connect whatever verified pairs within buckets connect.
 
@@ -143,7 +143,8 @@ def link(
     linked ones of (a, b) pairs of nodes. Pairs of a group and its pivot group are filtered, then each member
     meets the pivot. In later rounds members outside their pivot's component meet a pivot of their own; the last
     one compares those that are left with all members of their bucket in other components, so no result depends
-    on the number of rounds.
+    on the number of rounds. once: whether a pair of that last round is made in the first of its common buckets
+    alone, which takes an array of all a node's buckets; for nodes of few buckets.
     """
     groups = buckets.where("node <> pivot").where(may("", "pivot_")).select("node", "pivot").distinct()
     if members is not None:
@@ -163,8 +164,13 @@ def link(
             if cores is not None:
                 core = saved(cores(rest.select("node", F.col("of").alias("component")).distinct()), "cores")
                 rest, left = rest.join(core, "node"), left.join(core, "node")
+            if once:
+                known = rows.groupBy("node").agg(F.collect_set("bucket").alias("known"))
+                rest, left = rest.join(known, "node"), left.join(known, "node")
             rest = rest.withColumnsRenamed({c: f"to_{c}" for c in rest.columns if c != "bucket"})
             met = left.join(rest, "bucket").where("of <> to_of").where(may("", "to_", cores is not None))
+            if once:
+                met = met.where(F.array_min(F.array_intersect("known", "to_known")) == F.col("bucket"))
         new = saved(_pairs(met, "to_node").join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue

@@ -175,10 +175,12 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
     # equal sets are one node; they need no banding
     nodes = lines.groupBy("digest").agg(F.min(F.struct("id", "idx")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = saved(nodes, "lines")
-    rows = nodes.select(
-        F.explode("keys").alias("bucket"), F.col("digest").alias("node"), F.col("n").cast("long").alias("size"),
-        (-F.col("n")).cast("double").alias("rank"), F.lit(0).alias("pos"),
-    )
+    rows = nodes.select(F.explode("keys").alias("bucket"), F.col("digest").alias("node"), F.col("n").cast("long").alias("size"), F.lit(0).alias("pos"))
+    # who meets the most others in its buckets ranks first: of an original and its edited copies that is the original
+    crowds = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    rows = saved(rows.join(crowds, "bucket"), "crowds")
+    met = saved(rows.groupBy("node").agg((-F.sum("m")).cast("double").alias("rank")), "ranks")
+    rows = rows.drop("m").join(broadcast_if_small(met), "node")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made: list[DataFrame] = []
 
@@ -211,7 +213,7 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, percent: int, id_col: str,
     def cores(open_: DataFrame) -> DataFrame:
         return shared_cores(sets_of(open_.select(F.col("node").alias("digest"))).withColumnRenamed("digest", "id"), open_)
 
-    return components(link(crowded(rows), may_reach(percent), verify, cores), "a", "b").withColumnRenamed("id", "digest")
+    return components(link(crowded(rows), may_reach(percent), verify, cores, once=True), "a", "b").withColumnRenamed("id", "digest")
 
 
 def _lost_lines(docs: DataFrame, own: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
