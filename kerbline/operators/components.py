@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.storage import discard, saved
+from kerbline.storage import discard, release, saved
 
 
 def _to_minimum(directed: DataFrame) -> DataFrame:
@@ -35,6 +35,7 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         if now == state:
             break
         state = now
+    release(links.sparkSession)
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

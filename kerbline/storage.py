@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
@@ -59,6 +61,28 @@ def discard(*frames: DataFrame) -> None:
         _delete(df.sparkSession, sorted({x.rsplit("/", 1)[0] for x in df.inputFiles()}))
 
 
+def give_back() -> None:
+    """Return memory that this Python process has freed to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what no frame refers to any more.
+
+    Spark deletes spent broadcasts and shuffle files only once the driver's garbage is collected, which a driver that
+    plans much and allocates little seldom does by itself; generated classes and plans go with them.
+    """
+    gc.collect()  # frames in reference cycles hold their plans in the JVM
+    spark._jvm.System.gc()
+    give_back()
+
+
 class Scope:
     """The tables that are saved within, and which of them stay."""
 
@@ -77,7 +101,7 @@ def scratch(spark: SparkSession) -> Iterator[Scope]:
     """Deletes at its end the tables that are saved within, but for those that Scope.keep() is given.
 
     Frames that read a deleted table can't be used any more: what is returned must read kept tables alone. Kept
-    tables belong to the scope around, if there is one. After an exception all tables stay, for a second look.
+    tables belong to the scope around, if there is one. At its end the driver lets go of spent plans, too. After an exception all tables stay, for a second look.
     """
     scopes = _open.scopes = getattr(_open, "scopes", [])
     scope = Scope()
@@ -90,6 +114,7 @@ def scratch(spark: SparkSession) -> Iterator[Scope]:
     if scopes:
         scopes[-1].extend(x for x in scope.paths if x.rsplit("/", 1)[1] in stay)
     _delete(spark, [x for x in scope.paths if x.rsplit("/", 1)[1] not in stay])
+    release(spark)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
