@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.storage import BROADCAST_ROWS, discard, saved, scratch, scratch_path
+from kerbline.storage import BROADCAST_ROWS, discard, give_back, saved, scratch, scratch_path
 from kerbline.storage import small as broadcast_if_small
 
 __all__ = ["BROADCAST_ROWS", "broadcast_if_small", "discard", "held_out", "saved", "scratch", "scratch_path", "table", "tidy", "union_all"]
@@ -24,15 +24,7 @@ def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
         try:
             yield from work(frames)
         finally:
-            import ctypes
-
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            give_back()
 
     return run
 

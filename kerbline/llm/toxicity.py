@@ -206,8 +206,10 @@ def label_model(votes: np.ndarray, prior: float, clean: np.ndarray | None = None
         one = (votes.T @ posterior + np.where(clean, 0.1, 0.2)) / (s1 + 4)
         zero = (votes.T @ (1 - posterior) + np.where(clean, 0.2, 0.005)) / (s0 + 4)
         if n and m:
-            spread = votes - (np.outer(posterior, one) + np.outer(1 - posterior, zero))
-            scale = np.sqrt((spread**2).sum(axis=0)) + 1e-9
+            spread = np.outer(posterior, one - zero)  # made in place, since it is as large as all votes
+            spread += zero
+            np.subtract(votes, spread, out=spread)
+            scale = np.sqrt(np.einsum("ij,ij->j", spread, spread)) + 1e-9
             close = np.abs(spread.T @ spread) / np.outer(scale, scale)
             np.fill_diagonal(close, 0)
             discount = 1 / (1 + np.where(close > 0.3, close, 0).sum(axis=1))
