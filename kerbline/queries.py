@@ -171,80 +171,93 @@ def q_role_policy(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", rules.osm_role(tags, ["Elm Drive"], F.col("event_id") % 2 == 0).alias("role"))
 
 
-@query("""SELECT l_suppkey % 50 AS a, l_partkey % 50 AS b, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem WHERE l_quantity > 30 GROUP BY least(l_suppkey % 50, l_partkey % 50), greatest(l_suppkey % 50, l_partkey % 50), a, b
+@query("""SELECT l_suppkey AS a, l_partkey AS b, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY l_suppkey, l_partkey
 QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY seq, a, b) = 1""")
 def q_dedupe_pairs(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").where("l_quantity > 30").groupBy((F.col("l_suppkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    rows = t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     point = lambda c: F.struct(F.col(c).cast("double").alias("x"), F.lit(0.0).alias("y"))
     rows = rows.withColumn("k", F.struct("seq", "a", "b"))
     return network.dedupe_pairs(rows, point("a"), point("b"), "k").drop("k")
 
 
-_EDGES = "SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_quantity = 50 AND l_discount <= 0.02"
-_REACH = f"""e AS ({_EDGES}), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), r(id, seen) AS (SELECT DISTINCT u, u FROM b UNION SELECT r.id, b.v FROM r JOIN b ON r.seen = b.u), c AS (SELECT id, min(seen) AS component FROM r GROUP BY id)"""
+# every line of lineitem is an edge of a graph: 16 orders, some 64 lines, make a district of 64 + 64 nodes
+_EDGE = """SELECT *, u * 1000 + v % 1000 AS id FROM (SELECT l_quantity, l_orderkey // 16 * 1000 + l_partkey % 64 AS u,
+l_orderkey // 16 * 1000 + 100 + (l_suppkey * 5 + l_linenumber * 11) % 64 AS v FROM lineitem)"""
 
 
-def _sp_edges(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount <= 0.02")
-    return rows.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).distinct()
+def _reach_sql(lines: str = "true") -> str:
+    """Edges e (u, v) of the lines that meet a condition, and their components c (id, component)."""
+    return f"""e AS (SELECT DISTINCT u, v FROM ({_EDGE}) WHERE {lines}), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(id, seen) AS (SELECT DISTINCT u, u FROM b UNION SELECT r.id, b.v FROM r JOIN b ON r.seen = b.u), c AS (SELECT id, min(seen) AS component FROM r GROUP BY id)"""
 
 
-@query(f"WITH RECURSIVE {_REACH} SELECT id, component FROM c")
+def _edge_lines(spark, sf_dir):
+    """(u, v, id, l_quantity) of every line; id follows from u and v."""
+    rows = t(spark, sf_dir, "lineitem").withColumn("d", F.expr("l_orderkey div 16 * 1000"))
+    u, v = F.col("d") + F.col("l_partkey") % 64, F.col("d") + 100 + (F.col("l_suppkey") * 5 + F.col("l_linenumber") * 11) % 64
+    return rows.select(u.alias("u"), v.alias("v"), "l_quantity").withColumn("id", F.col("u") * 1000 + F.col("v") % 1000)
+
+
+@query(f"WITH RECURSIVE {_reach_sql()} SELECT id, component FROM c")
 def q_components(spark, sf_dir):
-    return comps.components(_sp_edges(spark, sf_dir))
+    return comps.components(_edge_lines(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_REACH}, s AS (SELECT component, count(*) AS segments, sum(u % 13 + 1) AS miles FROM e JOIN c ON e.u = c.id GROUP BY 1)
+@query(f"""WITH RECURSIVE {_reach_sql()}, s AS (SELECT component, count(*) AS segments, sum(u % 13 + 1) AS miles FROM e JOIN c ON e.u = c.id GROUP BY 1)
 SELECT row_number() OVER (ORDER BY miles DESC, segments DESC, component) - 1 AS island, segments, CAST(miles AS DOUBLE) AS miles, segments >= 3 AS major FROM s""")
 def q_islands_rank(spark, sf_dir):
-    e = _sp_edges(spark, sf_dir).withColumns({"miles": (F.col("u") % 13 + 1).cast("double"), "row_pos": F.struct("u", "v")})
-    found, _ = network.islands(e.withColumn("row_pos", F.col("u") * 10_000_000 + F.col("v")), F.lit(True), "miles", 3, parallel="all")
+    e = _edge_lines(spark, sf_dir).select("u", "v", F.col("id").alias("row_pos")).distinct().withColumn("miles", (F.col("u") % 13 + 1).cast("double"))
+    found, _ = network.islands(e, F.lit(True), "miles", 3, parallel="all")
     return found
 
 
-_BAR = f"""s AS (SELECT component, count(*) AS segments, sum(u % 13 + 1) AS miles FROM e JOIN c ON e.u = c.id GROUP BY 1), i AS (SELECT component, row_number() OVER (ORDER BY miles DESC, segments DESC, component) - 1 AS island, segments, round(CAST(miles AS DOUBLE), 3) AS miles FROM s),
-m AS (SELECT c.id, i.island, i.miles FROM c JOIN i USING (component) WHERE segments >= 3), h AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_quantity = 49),
-x AS (SELECT 'n' || (h.u % 3) AS name, least(a.island, b.island) AS island_a, greatest(a.island, b.island) AS island_b, least(a.miles, b.miles) AS unlocked, 0.5 AS len FROM h JOIN m a ON h.u = a.id JOIN m b ON h.v = b.id WHERE a.island <> b.island),
-g AS (SELECT name, island_a, island_b, min(unlocked) AS miles_unlocked, sum(len) AS crossing_miles, count(*) AS n_segments FROM x GROUP BY ALL), k AS (SELECT *, round(miles_unlocked / greatest(crossing_miles, 0.02), 2) AS score FROM g),
+_BAR = f"""s AS (SELECT component, count(*) AS segments, sum(u % 13 + 1) AS miles FROM e JOIN c ON e.u = c.id GROUP BY 1),
+i AS (SELECT component, row_number() OVER (ORDER BY miles DESC, segments DESC, component) - 1 AS island, segments, round(CAST(miles AS DOUBLE), 3) AS miles FROM s),
+m AS (SELECT c.id, i.island, i.miles FROM c JOIN i USING (component) WHERE segments >= 3), h AS (SELECT DISTINCT u, v FROM ({_EDGE}) WHERE l_quantity > 40),
+x AS (SELECT 'n' || (h.u % 3) AS name, least(a.island, b.island) AS island_a, greatest(a.island, b.island) AS island_b, least(a.miles, b.miles) AS unlocked, 0.5 AS len
+FROM h JOIN m a ON h.u = a.id JOIN m b ON h.v = b.id WHERE a.island <> b.island),
+g AS (SELECT name, island_a, island_b, min(unlocked) AS miles_unlocked, sum(len) AS crossing_miles, count(*) AS n_segments FROM x GROUP BY ALL),
+k AS (SELECT *, round(miles_unlocked / greatest(crossing_miles, 0.02), 2) AS score FROM g),
 z AS (SELECT *, row_number() OVER (ORDER BY score DESC, name, island_a, island_b) AS rank FROM k)"""
 
 
-@query(f"""WITH RECURSIVE {_REACH}, {_BAR} SELECT rank, name, island_a, island_b, miles_unlocked, CAST(crossing_miles AS DOUBLE) AS crossing_miles, n_segments, score, rank = min(rank) OVER (PARTITION BY island_a, island_b) AS best_for_pair, count(*) OVER (PARTITION BY island_a, island_b) - 1 AS alternatives FROM z""")
+@query(f"""WITH RECURSIVE {_reach_sql("l_quantity <= 40")}, {_BAR} SELECT rank, name, island_a, island_b, miles_unlocked, CAST(crossing_miles AS DOUBLE) AS crossing_miles, n_segments, score,
+rank = min(rank) OVER (PARTITION BY island_a, island_b) AS best_for_pair, count(*) OVER (PARTITION BY island_a, island_b) - 1 AS alternatives FROM z""")
 def q_barriers(spark, sf_dir):
-    low = _sp_edges(spark, sf_dir).withColumns({"miles": (F.col("u") % 13 + 1).cast("double"), "lts": F.lit(1)})
-    high = t(spark, sf_dir, "lineitem").where("l_quantity = 49").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).distinct().withColumns({"miles": F.lit(0.5), "lts": F.lit(4)})
-    e = low.unionByName(high).withColumns({"row_pos": F.col("u") * 10_000_000 + F.col("v"), "name": F.concat(F.lit("n"), F.col("u") % 3)}).withColumn("id", F.col("row_pos"))
     is_low = F.col("lts") == 1
+    e = _edge_lines(spark, sf_dir).select("u", "v", "id", F.when(F.col("l_quantity") <= 40, 1).otherwise(4).alias("lts")).distinct()
+    e = e.withColumns({"miles": F.when(is_low, F.col("u") % 13 + 1.0).otherwise(0.5), "row_pos": F.col("id"), "name": F.concat(F.lit("n"), F.col("u") % 3)})
     found, member = network.islands(e, is_low, "miles", 3, parallel="all")
     out = network.barriers(e, found, member, is_low, "miles", 3)
-    return out.select(F.col("rank").cast("long").alias("rank"), "name", "island_a", "island_b", "miles_unlocked", "crossing_miles", F.size("segment_ids").cast("long").alias("n_segments"), "score", "best_for_pair", "alternatives")
-
-
-_RING = """SELECT n_nationkey AS id, n_nationkey AS u, (n_nationkey + 1) % 25 AS v, 1.0 + n_nationkey % 4 AS miles, 1 + n_nationkey % 4 AS lts FROM nation UNION ALL SELECT 100 + n_nationkey, n_nationkey, (n_nationkey + 7) % 25, 9.0, 1 + n_nationkey % 3 FROM nation"""
-_COST = "miles * CASE lts WHEN 1 THEN 1.0 WHEN 2 THEN 1.05 WHEN 3 THEN 1.4 WHEN 4 THEN 3.5 END"
+    segments = F.size("segment_ids").cast("long").alias("n_segments")
+    return out.select(F.col("rank").cast("long").alias("rank"), "name", "island_a", "island_b", "miles_unlocked", "crossing_miles", segments, "score", "best_for_pair", "alternatives")
 
 
-def _ring(spark, sf_dir):
-    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
-    a = n.select(F.col("k").alias("id"), F.col("k").alias("u"), ((F.col("k") + 1) % 25).alias("v"), (F.col("k") % 4 + 1.0).alias("miles"), (F.col("k") % 4 + 1).alias("lts"))
-    return a.unionByName(n.select((F.col("k") + 100).alias("id"), F.col("k").alias("u"), ((F.col("k") + 7) % 25).alias("v"), F.lit(9.0).alias("miles"), (F.col("k") % 3 + 1).alias("lts")))
+def _ways(spark, sf_dir):
+    """All edges as rideable streets (id, u, v, miles, lts), and a source in each district: its first node."""
+    e = _edge_lines(spark, sf_dir).select("id", "u", "v").distinct().withColumns({"miles": F.col("u") % 4 + 1.0, "lts": (F.col("v") % 4 + 1).cast("int")})
+    first = e.groupBy(F.expr("u div 1000").alias("d")).agg(F.min("u").alias("node"))
+    return e, first.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("start"))
 
 
-def _distances_sql(most: float) -> str:
-    return f"""WITH RECURSIVE e AS ({_RING}), b AS (SELECT u, v, {_COST} AS c FROM e UNION ALL SELECT v, u, {_COST} FROM e), r(node, cost, hops) AS (SELECT 0, 0.0::DOUBLE, 0 UNION SELECT b.v, round(r.cost + b.c, 6), r.hops + 1 FROM r JOIN b ON r.node = b.u WHERE r.hops < 9 AND r.cost + b.c <= {most}) SELECT node, round(min(cost), 4) AS cost FROM r GROUP BY node"""
+def _distances_sql(most: float | None = None) -> str:
+    """Least costs over all paths that visit no node twice."""
+    within = "" if most is None else f" AND r.cost + b.c <= {most}"
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT u, v, (u % 4 + 1) * CASE v % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.05 WHEN 2 THEN 1.4 ELSE 3.5 END AS c FROM ({_EDGE})), b AS (SELECT u, v, c FROM e UNION ALL SELECT v, u, c FROM e),
+r(source, node, cost, path) AS (SELECT min(u), min(u), 0.0::DOUBLE, [min(u)] FROM e GROUP BY u // 1000 UNION ALL
+SELECT r.source, b.v, r.cost + b.c, list_append(r.path, b.v) FROM r JOIN b ON r.node = b.u WHERE NOT list_contains(r.path, b.v){within}) SELECT source, node, round(min(cost), 4) AS cost FROM r GROUP BY source, node"""
 
 
-@query(_distances_sql(60))
+@query(_distances_sql())
 def q_shortest_path(spark, sf_dir):
-    e = _ring(spark, sf_dir)
-    src = spark.createDataFrame([(0, 0, 0.0)], "source int, node int, start double")
-    return routing.distances(e, src, routing.edge_cost("balanced")).select("node", F.round("cost", 4).alias("cost"))
+    e, sources = _ways(spark, sf_dir)
+    return routing.distances(e, sources, routing.edge_cost("balanced")).select("source", "node", F.round("cost", 4).alias("cost"))
 
 
-@query(_distances_sql(15))
+@query(_distances_sql(6.03))
 def q_reachable(spark, sf_dir):
-    src = spark.createDataFrame([(0, 0, 0.0)], "source int, node int, start double")
-    return routing.distances(_ring(spark, sf_dir), src, routing.edge_cost("balanced"), 15.0).select("node", F.round("cost", 4).alias("cost"))
+    e, sources = _ways(spark, sf_dir)
+    return routing.distances(e, sources, routing.edge_cost("balanced"), 6.03).select("source", "node", F.round("cost", 4).alias("cost"))
 
 
 @query("""WITH w AS (SELECT *, CASE WHEN row_number() OVER o = 1 THEN 0 WHEN event_type IS DISTINCT FROM lag(event_type) OVER o THEN 1 ELSE 0 END AS c FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -260,14 +273,15 @@ def q_route_totals(spark, sf_dir):
     return out.select("route", *(F.round(c, 3).alias(c) for c in ("miles", "stress_miles", "severe_miles")), "worst_lts")
 
 
-_INTERVALS = "SELECT l_suppkey AS id, CAST(l_partkey % 1000 AS DOUBLE) / 1000 AS lo, LEAST(1.0, CAST(l_partkey % 1000 AS DOUBLE) / 1000 + l_quantity / 400) AS hi FROM lineitem WHERE l_linenumber <= 2 AND l_quantity < 20"
+_INTERVALS = "SELECT l_orderkey AS id, CAST(l_partkey % 1000 AS DOUBLE) / 1000 AS lo, LEAST(1.0, CAST(l_partkey % 1000 AS DOUBLE) / 1000 + l_quantity / 400) AS hi FROM lineitem"
 
 
 @query(f"""WITH i AS ({_INTERVALS}), p AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM i)
 SELECT id, round(sum(greatest(0, hi - greatest(lo, COALESCE(b, -1)))) * 100, 5) AS covered FROM p GROUP BY id""")
 def q_interval_coverage(spark, sf_dir):
     lo = (F.col("l_partkey") % 1000).cast("double") / 1000
-    rows = t(spark, sf_dir, "lineitem").where("l_linenumber <= 2 AND l_quantity < 20").select(F.col("l_suppkey").alias("id"), lo.alias("lo"), F.least(F.lit(1.0), lo + F.col("l_quantity") / 400).alias("hi"), F.lit(0).alias("part"), F.lit(0).alias("idx"), F.lit(100.0).alias("len"))
+    hi = F.least(F.lit(1.0), lo + F.col("l_quantity") / 400)
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), lo.alias("lo"), hi.alias("hi"), F.lit(0).alias("part"), F.lit(0).alias("idx"), F.lit(100.0).alias("len"))
     return spatial.covered(rows, ["id"]).select("id", F.round("covered", 5).alias("covered"))
 
 
@@ -425,8 +439,9 @@ def q_extra_minutes(spark, sf_dir):
     return routing.extra_minutes(t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("trip"), F.col("o_orderkey").alias("mode"), (F.col("o_totalprice") / 100000).alias("miles")))
 
 
-@query("""WITH RECURSIVE w AS (SELECT DISTINCT l_suppkey * 1000000 + l_partkey AS id, l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount <= 0.02), r(id) AS (SELECT min(id) FROM w UNION SELECT y.id FROM r JOIN w x ON r.id = x.id JOIN w y ON x.a = y.a OR x.b = y.b) SELECT id FROM r""")
+@query(f"""WITH RECURSIVE w AS (SELECT DISTINCT id, u, v FROM ({_EDGE})), b AS (SELECT u, v FROM w UNION ALL SELECT v, u FROM w),
+r(node) AS (SELECT u FROM ({_EDGE}) WHERE l_quantity = 50 UNION SELECT b.v FROM r JOIN b ON r.node = b.u) SELECT id FROM w WHERE u IN (SELECT node FROM r)""")
 def q_seed_expansion(spark, sf_dir):
-    ways = t(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount <= 0.02").select("l_suppkey", "l_partkey")
-    ways = ways.select((F.col("l_suppkey") * 1_000_000 + F.col("l_partkey")).alias("id"), F.array(F.col("l_suppkey"), F.col("l_partkey") + 1_000_000).alias("nodes")).distinct()
-    return comps.expand(ways, ways.agg(F.min("id").alias("id")))
+    """All ways that hang together with a line of quantity 50."""
+    lines = _edge_lines(spark, sf_dir)
+    return comps.expand(lines.select("id", F.array("u", "v").alias("nodes")).distinct(), lines.where("l_quantity = 50").select("id").distinct())
