@@ -16,6 +16,7 @@ short lines that unrelated documents share stay in all of them.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -40,6 +41,8 @@ _ADD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _BAND = _RNG.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Texts whose words and shingles are held in memory together: so many at most, and no more once they have so many characters.
+TEXTS, CHARS = 200, 1 << 19
 
 
 def slide(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -134,6 +137,20 @@ def all_bands(sets: list[np.ndarray]) -> np.ndarray:
     return mix((low.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP)
 
 
+def few_texts(frame: pd.DataFrame) -> Iterator[list[tuple]]:
+    """Lists of (id, text) of a frame's texts that aren't null or empty, bounded by TEXTS and CHARS; a long text may stand alone."""
+    part, chars = [], 0
+    for key, text in zip(frame["id"], frame["text"]):
+        if text:
+            part.append((key, text))
+            chars += len(text)
+            if len(part) == TEXTS or chars >= CHARS:
+                yield part
+                part, chars = [], 0
+    if part:
+        yield part
+
+
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, idx, n, digest, keys, at, line, more), stored.
 
@@ -158,10 +175,8 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def work(frames):
         for frame in frames:
-            for i in range(0, len(frame), 200):
-                part = frame.iloc[i : i + 200]
-                found = [(key, Cut(text)) for key, text in zip(part["id"], part["text"]) if text]
-                out = list(rows_of(found))
+            for part in few_texts(frame):
+                out = list(rows_of([(key, Cut(text)) for key, text in part]))
                 if out:
                     yield pd.DataFrame(out, columns=columns)
 
