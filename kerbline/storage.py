@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,24 @@ def give_back() -> None:
         pass
 
 
+def trim_native(spark: SparkSession) -> None:
+    """Let the driver's JVM return freed native memory to the system; the compilers of many generated classes leave much of it.
+
+    This is the JVM's own diagnostic command System.trim_native_heap; JVMs and systems without it stay as they are.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    try:
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+    except Py4JJavaError:  # no such command
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what no frame refers to any more.
 
@@ -80,6 +99,7 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()  # frames in reference cycles hold their plans in the JVM
     spark._jvm.System.gc()
+    trim_native(spark)
     give_back()
 
 
