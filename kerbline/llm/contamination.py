@@ -116,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     document each in n_words, but share their hits; null ids are clean. Extra columns are ignored. No
     benchmark rows: every document is clean.
     """
-    with scratch(docs.sparkSession) as scope:
+    with scratch(docs.sparkSession, native=False) as scope:  # no Python in this operator
         # words hold no space, so a window's joined words stand for it; 128 bits keep all windows apart
         key = F.unhex(F.md5(F.array_join("terms", " ").cast("binary")))
         windows = _windows(items, size, item_col, item_text).select(key.alias("key"), "item", "terms").dropDuplicates(["key", "item"])

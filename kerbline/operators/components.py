@@ -35,7 +35,7 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         if now == state:
             break
         state = now
-    release(links.sparkSession)
+    release(links.sparkSession, native=False)
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return found.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
+import subprocess
 import tempfile
 import threading
 import uuid
@@ -91,8 +93,39 @@ def trim_native(spark: SparkSession) -> None:
         pass
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what no frame refers to any more.
+def _trim_executor(frames: Iterator) -> Iterator:
+    """For mapInPandas: the worker, and by its own jcmd the JVM that the worker belongs to, return freed native memory."""
+    for frame in frames:
+        give_back()
+        try:
+            pid = os.getppid()
+            while pid > 1 and os.path.basename(exe := os.readlink(f"/proc/{pid}/exe")) != "java":
+                with open(f"/proc/{pid}/stat") as stat:
+                    pid = int(stat.read().rpartition(")")[2].split()[1])
+            if pid > 1:
+                tool = [os.path.join(os.path.dirname(exe), "jcmd"), "-J-Xmx16m", "-J-XX:+UseSerialGC", "-J-XX:TieredStopAtLevel=1"]
+                subprocess.run([*tool, str(pid), "System.trim_native_heap"], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, timeout=20)
+        except (OSError, subprocess.SubprocessError):  # no /proc, or no such tool
+            pass
+        yield frame
+
+
+def release_executors(spark: SparkSession, native: bool = True) -> None:
+    """Let each executor's JVM collect its garbage, which shrinks its heap, and return freed native memory, too.
+
+    A heap that has once grown keeps its pages otherwise, and so do the allocator's arenas, so that the peaks of all
+    steps add up to what a container must hold. A task for each executor does it; idle executors get one each.
+    In local mode the driver's JVM is the only one. native: whether Python workers may run for the native memory.
+    """
+    n = len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1  # the driver is among them
+    if n < 1:
+        return
+    tasks = spark.range(0, n, 1, n).selectExpr("id", "reflect('java.lang.System', 'gc') AS said")
+    (tasks.mapInPandas(_trim_executor, "id long, said string") if native else tasks).collect()
+
+
+def release(spark: SparkSession, native: bool = True) -> None:
+    """Let the driver and the executors drop what no frame refers to any more; native is release_executors()'s.
 
     Spark deletes spent broadcasts and shuffle files only once the driver's garbage is collected, which a driver that
     plans much and allocates little seldom does by itself; generated classes and plans go with them.
@@ -101,6 +134,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
     trim_native(spark)
     give_back()
+    release_executors(spark, native)
 
 
 class Scope:
@@ -117,11 +151,12 @@ class Scope:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Scope]:
+def scratch(spark: SparkSession, native: bool = True) -> Iterator[Scope]:
     """Deletes at its end the tables that are saved within, but for those that Scope.keep() is given.
 
     Frames that read a deleted table can't be used any more: what is returned must read kept tables alone. Kept
-    tables belong to the scope around, if there is one. At its end the driver lets go of spent plans, too. After an exception all tables stay, for a second look.
+    tables belong to the scope around, if there is one. At its end the driver and
+    the executors let go of what is spent, too (native: see release()). After an exception all tables stay, for a second look.
     """
     scopes = _open.scopes = getattr(_open, "scopes", [])
     scope = Scope()
@@ -134,7 +169,7 @@ def scratch(spark: SparkSession) -> Iterator[Scope]:
     if scopes:
         scopes[-1].extend(x for x in scope.paths if x.rsplit("/", 1)[1] in stay)
     _delete(spark, [x for x in scope.paths if x.rsplit("/", 1)[1] not in stay])
-    release(spark)
+    release(spark, native)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
